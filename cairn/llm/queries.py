@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, lines, lookalikes, mixing, neardup, splitting
+from cairn.llm import abuse, bpe, lines, lookalikes, mixing, neardup, splitting
 from cairn.runtime import settle, table
 
 
@@ -101,6 +101,26 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    return documents, abuse.scored(documents, abuse.fitted(documents, table(spark, sf_dir, "abuse_labels")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with abusive, hateful or sexually explicit language."""
+    return _scores(spark, sf_dir)[1].filter(F.col("score") >= abuse.CASE).select("doc_id").distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and evidence of every document."""
+    return _scores(spark, sf_dir)[1]
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate of such documents of every source."""
+    return abuse.rates(*_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
@@ -113,6 +133,9 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_drawn": p7_drawn,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 SQL = {
