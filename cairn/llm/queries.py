@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import abuse, bpe, lines, lookalikes, mixing, neardup, splitting
+from cairn.llm import abuse, bpe, lines, lookalikes, mixing, neardup, pages, splitting
 from cairn.runtime import settle, table
 
 
@@ -56,6 +56,22 @@ def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.removed(parents.select("parent_id", "doc_id", "text").dropDuplicates(["parent_id"]), at.distinct())
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.records(*(table(spark, sf_dir, t) for t in ("parents", "sections", "documents")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise of every line of the scanned pages."""
+    rows = _records(spark, sf_dir)
+    return pages.noise(rows, pages.vocabulary(rows))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned pages as continuous paragraphs."""
+    rows = _records(spark, sf_dir)
+    return pages.repaired(rows, pages.vocabulary(rows))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all oversized blocks."""
     return splitting.pieces(table(spark, sf_dir, "parents"))
@@ -126,6 +142,8 @@ QUERIES = {
     "p1_classes": p1_classes,
     "p2_found": p2_found,
     "p2_clean": p2_clean,
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
