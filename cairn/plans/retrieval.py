@@ -38,17 +38,20 @@ class Pipeline:
     conf: Retrieval = DEFAULT
 
     def scored(self) -> DataFrame:
-        """(q_id, id, score, overlap) over all chunks, equal questions scored once."""
+        """(q_id, id, score, overlap, doc_id, source and access columns) over all chunks.
+
+        Equal questions are scored once, and chunks go by a 64-bit key until they have been scored.
+        """
         forms = self.questions.withColumn("form", F.xxhash64("terms"))
         once = forms.groupBy("form").agg(F.first("terms").alias("terms")).select(F.col("form").alias("q_id"), "terms")
-        docs = sparse.tokenized(self.chunks, "id", "text")
-        s = sparse.scores(once, docs, self.conf).withColumnRenamed("q_id", "form")
+        rows = self.chunks.withColumn("cid", F.xxhash64("id"))
+        s = sparse.scores(once, sparse.tokenized(rows, "cid", "text"), self.conf).withColumnRenamed("q_id", "form")
+        s = s.withColumnRenamed("id", "cid").join(rows.select("cid", "id", "doc_id", "source", "status", "visibility", "tenant_id", "owner_id"), "cid").drop("cid")
         return s.join(forms.select("q_id", "form", F.col("tenant_id").alias("q_tenant"), F.col("user_id").alias("q_user")), "form").drop("form")
 
     def allowed(self, scored: DataFrame) -> DataFrame:
         """Only what the asker may see, before any ranking."""
-        acl = self.chunks.select("id", "doc_id", "source", "status", "visibility", "tenant_id", "owner_id")
-        return scored.join(acl, "id").filter(visible(F.col("q_tenant"), F.col("q_user"))).select("q_id", "id", "score", "overlap", "doc_id", "source")
+        return scored.filter(visible(F.col("q_tenant"), F.col("q_user"))).select("q_id", "id", "score", "overlap", "doc_id", "source")
 
     def sparse(self, scored: DataFrame) -> DataFrame:
         ranked = ranking.top_k(scored, self.conf.channel_k, F.desc("score"), F.asc("id"))
@@ -64,7 +67,7 @@ class Pipeline:
     def reranked(self, scored: DataFrame) -> DataFrame:
         """Fused rows with the stand-in relevance (10 times the overlap), best first."""
         rows = self.fused(scored).drop("rank").join(scored.select("q_id", "id", "overlap", "doc_id", "source"), ["q_id", "id"])
-        rows = rows.withColumn("relevance", F.round(10 * F.col("overlap"), 4))
+        rows = rows.withColumn("relevance", F.round(10 * F.col("overlap"), 6))
         return ranking.top_k(rows, self.conf.pool, F.desc("relevance"), F.asc("id"))
 
     def selected(self, scored: DataFrame) -> DataFrame:

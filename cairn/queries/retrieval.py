@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from cairn.config import DEFAULT
 from cairn.operators import dense, evaluate, ranking, sparse
 from cairn.plans.retrieval import Pipeline, pipeline
-from cairn.runtime import table
+from cairn.runtime import settle, table
 
 
 def _visible(spark: SparkSession, sf_dir: str) -> tuple[Pipeline, DataFrame]:
     p = pipeline(spark, sf_dir)
-    return p, p.allowed(p.scored())
+    return p, settle(p.allowed(p.scored()))  # several steps read it
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,7 @@ def dense_label_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First rank of a relevant chunk in each mode; relevant chunks hold at least 60 % of the question's terms."""
     p = pipeline(spark, sf_dir)
-    s = p.scored()
+    s = settle(p.scored().select("q_id", "id", "score", "overlap"))
     truth = s.filter(F.col("overlap") >= 0.6).select("q_id", "id")
     modes = {"sparse": p.sparse(s), "overlap": p.overlap(s), "rrf": p.fused(s)}
     return evaluate.first_ranks(p.questions.select("q_id", "question"), truth, modes)
@@ -199,7 +199,7 @@ def _fuse(k: int, lists: str = "SELECT q_id, id, rank FROM sp UNION ALL SELECT q
 
 _RERANK = f"""{_channels(True)},
 fu AS ({_fuse(10)}),
-rr AS (SELECT q_id, id, doc_id, source, round(10 * overlap, 4) AS relevance, row_number() OVER (PARTITION BY q_id ORDER BY round(10 * overlap, 4) DESC, id)::int AS rank FROM fu JOIN v USING (q_id, id)),
+rr AS (SELECT q_id, id, doc_id, source, round(10 * overlap, 6) AS relevance, row_number() OVER (PARTITION BY q_id ORDER BY round(10 * overlap, 6) DESC, id)::int AS rank FROM fu JOIN v USING (q_id, id)),
 fl AS (SELECT *, max(relevance) OVER (PARTITION BY q_id) AS best FROM rr),
 nth AS (SELECT *, row_number() OVER (PARTITION BY q_id, source ORDER BY relevance DESC, id) AS nth FROM fl WHERE best <= 0 OR relevance >= 0.12 * best),
 sel0 AS (SELECT q_id, id, doc_id, source, relevance, row_number() OVER (PARTITION BY q_id ORDER BY relevance DESC, id)::int AS rank FROM nth WHERE nth <= 3),
