@@ -33,7 +33,7 @@ def image_format(content: Column) -> Column:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the .txt and .md files below a folder; blank files give no row."""
-    t = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(folder)
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md}").text(folder, wholetext=True)
     return t.select(F.input_file_name().alias("path"), F.col("value").alias("text")).filter(F.trim("text") != "")
 
 
