@@ -39,7 +39,7 @@ WIDE = 2
 #: A labelled example of abuse that is like none of another document (cosine) must have so many terms.
 ALONE, SUPPORT = 16, 0.2
 #: Terms in more than this share of all documents are not typical of anything.
-COMMON = 0.01
+COMMON = 0.05
 #: Examples of a block of the index.
 BLOCK = 32
 # Digits and signs that stand for letters inside words.

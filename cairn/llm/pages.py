@@ -462,7 +462,8 @@ class Page:
             if i in self.cut:
                 s = s.rstrip()[:-1]
             now += glue + s
-            glue = "" if self.wide or i in self.cut else " "
+            joins = self.wide or i in self.cut or re.search(r"\w-$", s.rstrip())
+            glue = "" if joins else " "
             if s.rstrip()[-1:] and s.rstrip()[-1] in _ENDS and len(s) < 0.8 * widest:
                 paragraphs.append(now)
                 now, glue = "", ""
@@ -512,7 +513,7 @@ def vocabulary_counts(rows: DataFrame) -> DataFrame:
                 chars.update(dict(zip(map(chr, c.tolist()), n.tolist(), strict=True)))
         for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0]) and len(w) <= 40}), ("form", forms), ("char", chars), ("pair", pairs)):
             entry = [str(k) for k in counts]
-            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(entry)), pa.array(entry, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "entry", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(entry), pa.string()), pa.array(entry, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "entry", "n"])
 
     return rows.select("text", "page").mapInArrow(run, "kind string, entry string, n bigint").groupBy("kind", "entry").agg(F.sum("n").alias("n"))
 
