@@ -32,7 +32,8 @@ def test_queries_run(spark, name):
 
 
 def brute_pairs(data, prepare, n, threshold):
-    sets = {k: {prepare(t)[i : i + n] for i in range(len(prepare(t)) - n + 1)} for k, t in data if k is not None and t is not None}
+    forms = {k: prepare(t) for k, t in data if k is not None and t is not None}
+    sets = {k: {t[i : i + n] for i in range(len(t) - n + 1)} for k, t in forms.items()}
     text = dict((k, t) for k, t in data if k is not None and t is not None)
     out = set()
     for a, b in itertools.combinations(sorted(sets), 2):
