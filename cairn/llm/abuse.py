@@ -33,13 +33,13 @@ MAX_LABELLED = 4000
 #: Neighbours that vote, the least cosine of one that counts, and the score from which a text is a case.
 NEIGHBOURS, LEAST_COSINE, CASE = 7, 0.3, 0.5
 #: Least number of typical terms of a stretch, and their least share of its letters.
-FEWEST, DENSITY = 8, 0.45
+FEWEST, DENSITY = 10, 0.5
 #: A letter of scripts without small letters counts as so many.
 WIDE = 2
 #: A labelled example of abuse that is like none of another document (cosine) must have so many terms.
 ALONE, SUPPORT = 16, 0.2
 #: Terms in more than this share of all documents are not typical of anything.
-COMMON = 0.05
+COMMON = 0.005
 #: Examples of a block of the index.
 BLOCK = 32
 # Digits and signs that stand for letters inside words.

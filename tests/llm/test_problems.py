@@ -374,24 +374,24 @@ def test_abuse_on_held_out_texts(spark):
     rng = random.Random(9)
     plain = ["the pump moves from {} to {}", "please replace the filter within {} days and note {}", "把滤芯单独静置 {} 分钟后再检查 {}", "the sensor blinked {} times on day {}"]
     docs, labels, truth = [], [], set()
-    for i in range(700):
+    for i in range(4000):
         body = [rng.choice(plain).format(rng.randint(1, 99), rng.randint(1, 99)) for _ in range(6)]
-        if i % 6 == 0:
+        if i % 80 == 0:
             line = rng.choice(INSULTS).format(rng.choice(NAMES))
-            line = line.replace("o", "0", 1) if i % 12 == 0 else line.upper()
+            line = line.replace("o", "0", 1) if i % 160 == 0 else line.upper()
             body.insert(rng.randrange(6), line)
             truth.add(i)
         docs.append((i, rng.choice(["a", "b", None]), "\n".join(body)))
-        if i < 400:
+        if i < 2400:
             labels.append((i, "x", int(i in truth) if i % 29 else None))
-    docs += [(1000, "a", None), (1001, None, ""), (1002, "a", LONG), docs[0]]
+    docs += [(9000, "a", None), (9001, None, ""), (9002, "a", LONG), docs[0]]
     d = frame(spark, docs, "doc_id bigint, source string, text string").withColumn("score", F.lit(9.0))
     lab = frame(spark, [*labels, labels[0], (None, "x", 1)], "doc_id bigint, annotator string, toxic int")
     scores = abuse.scored(d, abuse.fitted(d, lab))
     got = {r.doc_id: r.score for r in scores.collect()}
-    assert set(got) == {r[0] for r in docs} and got[1000] == got[1001] == 0.0
-    found = {i for i, s in got.items() if s >= abuse.CASE and i >= 400}
-    want = {i for i in truth if i >= 400}
+    assert set(got) == {r[0] for r in docs} and got[9000] == got[9001] == 0.0
+    found = {i for i, s in got.items() if s >= abuse.CASE and i >= 2400}
+    want = {i for i in truth if i >= 2400}
     assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 2
     rates = {r.source: r for r in abuse.rates(d, scores).collect()}
     assert sum(r.documents for r in rates.values()) == len({r[0] for r in docs})
