@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+#: Keys' histories are cut into slices of this length, so that no task holds the whole history of a key.
+SLICE_US = 3_600_000_000
 
 
 def seconds(ts: Column) -> Column:
@@ -11,61 +20,107 @@ def seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def _hourly(events: DataFrame, ts: str) -> DataFrame:
+    """``events`` with ``us`` and ``__hour``, the slice of time that a task works on; no time is the first slice."""
+    us = seconds(F.col(ts))
+    return events.withColumn("us", us).withColumn("__hour", F.coalesce(F.floor(us / SLICE_US), F.lit(-(1 << 62))))
+
+
+def _carried(rows: DataFrame, totals: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with what their slice takes over from the earlier ones; null keys are a key."""
+    t = totals.withColumnsRenamed({k: f"__t{i}" for i, k in enumerate((*keys, "__hour"))})
+    same = [F.col(k).eqNullSafe(F.col(f"__t{i}")) for i, k in enumerate(keys)]
+    on = reduce(and_, same, F.col("__hour") == F.col(f"__t{len(keys)}"))
+    return rows.join(t, on).drop(*(f"__t{i}" for i in range(len(keys) + 1)))
+
+
+def _before(*keys: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def segments(events: DataFrame, key: str, ts: str, order: str, gap_us: int) -> DataFrame:
-    """``events`` with ``segment``, which grows where the key was silent for ``gap_us`` or longer."""
-    w = Window.partitionBy(key).orderBy(ts, order)
-    silent = F.col("us") - F.lag("us").over(w)
-    marked = events.withColumn("us", seconds(F.col(ts))).withColumn("__new", F.coalesce((silent >= gap_us).cast("int"), F.lit(1)))
-    return marked.withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    """``events`` with ``segment``, which grows where the key was silent for ``gap_us`` or longer.
+
+    Numbered within each slice of time; the slices' totals, one row each, carry the numbers on. A row without
+    time is a segment of its own.
+    """
+    w = Window.partitionBy(key, "__hour").orderBy(ts, order)
+    e = _hourly(events, ts).withColumn("__inner", F.when(F.row_number().over(w) > 1, F.coalesce((F.col("us") - F.lag("us").over(w) >= gap_us).cast("bigint"), F.lit(1))).otherwise(0))
+    e = e.withColumn("__run", F.sum("__inner").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = e.groupBy(key, "__hour").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum("__inner").alias("inner"))
+    silent = F.col("first") - F.lag("last").over(Window.partitionBy(key).orderBy("__hour"))
+    t = t.withColumn("new", F.coalesce((silent >= gap_us).cast("bigint"), F.lit(1)))
+    t = t.select(key, "__hour", (F.col("new") + F.coalesce(F.sum(F.col("new") + F.col("inner")).over(_before(key)), F.lit(0))).alias("__carry"))
+    e = _carried(e, t, key)
+    return e.withColumn("segment", F.col("__carry") + F.col("__run")).drop("__inner", "__run", "__carry", "__hour")
 
 
 def handoffs(signals: DataFrame, key: str, ts: str, order: str, ttl_us: int, fires_at: int = 3) -> DataFrame:
     """``signals`` with ``count`` and ``fired``: a counter that each signal refreshes for ``ttl_us``, that fires
     and starts anew at ``fires_at``. Silence of exactly the time to live ends it."""
-    s = segments(signals, key, ts, order, ttl_us)
-    nth = F.row_number().over(Window.partitionBy(key, "segment").orderBy(ts, order))
-    s = s.withColumn("count", ((nth - 1) % fires_at + 1).cast("int"))
-    return s.withColumn("fired", F.col("count") == fires_at).drop("us", "segment")
+    s = _hourly(segments(signals, key, ts, order, ttl_us), ts)
+    s = s.withColumn("__nth", F.row_number().over(Window.partitionBy(key, "segment", "__hour").orderBy(ts, order)))
+    t = s.groupBy(key, "segment", "__hour").agg(F.count("*").alias("n"))
+    t = t.select(key, "segment", "__hour", F.coalesce(F.sum("n").over(_before(key, "segment")), F.lit(0)).alias("__carry"))
+    s = _carried(s, t, key, "segment")
+    s = s.withColumn("count", ((F.col("__carry") + F.col("__nth") - 1) % fires_at + 1).cast("int"))
+    return s.withColumn("fired", F.col("count") == fires_at).drop("us", "segment", "__hour", "__nth", "__carry")
 
 
 def token_bucket(events: DataFrame, key: str, ts: str, order: str, per_us: int, burst: int) -> DataFrame:
     """(key, order, allowed): whether each event finds a token; one comes every ``per_us``, at most ``burst``.
 
-    After silence of ``burst * per_us`` a bucket is full whatever was before, so histories are cut there and
-    the fold runs over one uninterrupted stretch. Amounts are whole microseconds' worth of tokens.
+    After silence of ``burst * per_us`` a bucket is full whatever was before, so histories are cut there. The
+    stretches are sorted by Spark and read as a stream of batches with the level as the only state.
+    Amounts are whole microseconds' worth of tokens.
     """
-    s = segments(events, key, ts, order, per_us * burst)
     full, cost = burst * per_us, per_us
-    items = s.groupBy(key, "segment").agg(F.sort_array(F.collect_list(F.struct("us", F.col(order).alias("o")))).alias("e"))
-    out_kind = f"array<struct<o:{events.schema[order].dataType.simpleString()},allowed:boolean>>"
-    start = F.struct(F.lit(full).cast("bigint").alias("level"), F.element_at("e", 1)["us"].alias("at"), F.array().cast(out_kind).alias("out"))
+    s = segments(events, key, ts, order, full).select(key, "segment", "us", order)
+    s = s.repartition(F.col(key), F.col("segment")).sortWithinPartitions(key, "segment", "us", order)
+    kind = StructType([events.schema[key], events.schema[order], StructField("allowed", BooleanType())])
 
-    def step(a: Column, x: Column) -> Column:
-        level = F.least(F.lit(full).cast("bigint"), a["level"] + F.greatest(F.lit(0).cast("bigint"), x["us"] - a["at"]))
-        ok = level >= cost
-        return F.struct(F.when(ok, level - cost).otherwise(level).alias("level"), x["us"].alias("at"), F.concat(a["out"], F.array(F.struct(x["o"].alias("o"), ok.alias("allowed")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, level, at = None, 0, None
+        for batch in batches:
+            out = []
+            for k, segment, us in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if stretch != (k, segment):
+                    stretch, level, at = (k, segment), full, us
+                level = min(full, level + (max(0, us - at) if us is not None and at is not None else 0))
+                out.append(level >= cost)
+                level, at = level - cost * out[-1], us
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.bool_())], [key, order, "allowed"])
 
-    done = items.select(key, F.inline(F.aggregate("e", start, step, lambda a: a["out"])))
-    return done.withColumnRenamed("o", order)
+    return s.mapInArrow(run, kind)
 
 
 def in_force(events: DataFrame, key: str, ts: str, order: str, starts: Column, ttl_us: int) -> DataFrame:
     """``events`` with ``in_force``: whether an earlier event of the key that ``starts`` it is within its time to live."""
-    w = Window.partitionBy(key).orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(starts, seconds(F.col(ts)))).over(w)
-    return events.withColumn("in_force", F.coalesce(seconds(F.col(ts)) - last < ttl_us, F.lit(False)))
+    w = Window.partitionBy(key, "__hour").orderBy(ts, order).rowsBetween(Window.unboundedPreceding, -1)
+    e = _hourly(events, ts).withColumn("__start", F.when(starts, F.col("us")))
+    t = e.groupBy(key, "__hour").agg(F.max("__start").alias("m"))
+    t = t.select(key, "__hour", F.max("m").over(_before(key)).alias("__carry"))
+    e = _carried(e.withColumn("__last", F.max("__start").over(w)), t, key)
+    last = F.coalesce("__last", "__carry")
+    return e.withColumn("in_force", F.coalesce(F.col("us") - last < ttl_us, F.lit(False))).drop("us", "__hour", "__start", "__last", "__carry")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> DataFrame:
     """``left`` with ``value`` of the latest row of ``right`` at or before its time, null if there is none.
 
-    Both sides are laid in one order per key and the last value is carried forward; no pairs are formed.
+    Both sides are laid in one order per key and slice of time, and the last value is carried forward, over
+    slices by their last values; no pairs are formed. Rows of ``right`` without value do not count; of several
+    at one time the greatest value holds.
     """
     a = left.withColumn("__side", F.lit(1)).withColumn("__v", F.lit(None).cast(right.schema[value].dataType))
-    b = right.select(key, ts, F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = Window.partitionBy(key).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(value, F.last("__v", ignorenulls=True).over(w))
-    return both.filter("__side = 1").drop("__side", "__v")
+    b = right.select(key, ts, F.lit(0).alias("__side"), F.col(value).alias("__v")).filter("__v is not null")
+    both = _hourly(a.unionByName(b, allowMissingColumns=True), ts)
+    w = Window.partitionBy(key, "__hour").orderBy(ts, "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    t = both.filter("__side = 0").groupBy(key, "__hour").agg(F.max_by("__v", F.struct("us", "__v")).alias("v"))
+    t = both.select(key, "__hour").distinct().join(t, [key, "__hour"], "left")
+    t = t.select(key, "__hour", F.last("v", ignorenulls=True).over(_before(key)).alias("__carry"))
+    both = _carried(both.withColumn("__local", F.last("__v", ignorenulls=True).over(w)), t, key)
+    return both.filter("__side = 1").withColumn(value, F.coalesce("__local", "__carry")).drop("__side", "__v", "us", "__hour", "__local", "__carry")
 
 
 def quantiles(df: DataFrame, label: str, value: str, at: list[float], width: float = 1.0) -> DataFrame:

@@ -1,5 +1,7 @@
 import io
+import random
 import zipfile
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -13,6 +15,9 @@ from cairn.operators.acl import lacks_acl, visible
 from cairn.sources import readers, sinks
 
 
+T0 = datetime(2024, 1, 1)
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -341,3 +346,42 @@ def test_readers_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["n", "source"]
     img = spark.createDataFrame([(bytearray(b"\xff\xd8\xff\x00"),), (bytearray(b"??"),)], "c binary")
     assert [r[0] for r in img.select(readers.image_format(F.col("c"))).collect()] == ["jpg", "png"]
+
+
+def test_keyed_state_over_slices_of_a_hot_key(spark):
+    """One key with most rows, over many slices of time, null keys and null times: as a plain fold says."""
+    draw = random.Random(5)
+    rows = [("hot" if draw.random() < 0.7 else draw.choice(["a", None]), None if draw.random() < 0.02 else T0 + timedelta(seconds=draw.randrange(6 * 3600)), i, draw.random() < 0.2) for i in range(600)]
+    df = spark.createDataFrame(rows, "u string, ts timestamp_ntz, id bigint, s boolean").repartition(3)
+    gap, ttl, per = 300, 900, 240
+    segment, force, count, allowed = {}, {}, {}, {}
+    for key in {r[0] for r in rows}:
+        us, seg, start, n, level = None, 0, None, 0, 0.0
+        for _, ts, i, s in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or T0, r[2])):
+            at = None if ts is None else (ts - T0).total_seconds()
+            quiet = None if at is None or us is None else at - us
+            new = quiet is None or quiet >= gap
+            seg, n = seg + new, 1 if new else n % 3 + 1
+            level = 3 * per if quiet is None else min(3 * per, level + quiet)
+            allowed[i] = level >= per
+            level -= per * allowed[i]
+            segment[i], count[i] = seg, n
+            force[i] = at is not None and start is not None and at - start < ttl
+            start, us = (at if s and at is not None else start), at
+    micro = 1_000_000
+    assert {r.id: r.segment for r in state.segments(df, "u", "ts", "id", gap * micro).collect()} == segment
+    assert {r.id: r["count"] for r in state.handoffs(df, "u", "ts", "id", gap * micro).collect()} == count
+    assert {r.id: r.in_force for r in state.in_force(df, "u", "ts", "id", F.col("s"), ttl * micro).collect()} == force
+    assert {r.id: r.allowed for r in state.token_bucket(df, "u", "ts", "id", per * micro, 3).collect()} == allowed
+
+
+def test_as_of_over_slices(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(["hot", "hot", "hot", "a"]), T0 + timedelta(seconds=draw.randrange(9 * 3600)), i) for i in range(300)]
+    left, right = rows[:200], [*rows[200:], ("a", T0, None)]
+    kinds = "u string, ts timestamp_ntz, "
+    got = state.as_of(spark.createDataFrame(left, kinds + "id bigint"), spark.createDataFrame(right, kinds + "v bigint"), "u", "ts", "v")
+    want = {i: max(((t, v) for k, t, v in right if k == u and t <= ts and v is not None), default=(None, None))[1] for u, ts, i in left}
+    assert {r.id: r.v for r in got.collect()} == want
+    empty = spark.createDataFrame([], kinds + "v bigint")
+    assert [r.v for r in state.as_of(spark.createDataFrame(left[:2], kinds + "id bigint"), empty, "u", "ts", "v").collect()] == [None, None]
