@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Entries below this share of all words (pairs, characters, forms) are not known.
 LEAST_SHARE = 5e-7
+#: Forms of tokens with digits below this share of all such tokens are not those of codes or models.
+FORM_SHARE = 5e-4
 #: Marks with which a word can be cut at the end of a line. Fixed values.
 CUT_MARKS = "-\u00ad\u2010\u2011\u00ac"
 #: Longest line of a scanned page, in characters.
@@ -33,6 +35,10 @@ WIDEST = 82
 _WORD = re.compile(r"[^\W\d_]+(?:[-'\u2019][^\W\d_]+)*")
 _CODE = re.compile(r"[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*")
 _ENDS = "\u3002\uff0e.!?\uff01\uff1f;\uff1b:\uff1a|\u201d\u2026"
+# Dashes of hyphen length, and invisible characters.
+_DASHES = {**dict.fromkeys(map(ord, "\u00ad\u2010\u2011\u2012\u2013\u2212\ufe63"), "-"), **dict.fromkeys(map(ord, "\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"), None)}
+# Letters that stand for misread digits.
+_AS_DIGITS = str.maketrans("OoQDlIiZzSsBbGgq", "0000111225588699")
 _CAPTION = re.compile(r"^(?:\u8868|\u56fe|table|tabelle|tab\.?|fig\.?|figure|abb\.?|abbildung|bild)\s*[0-9]+(?:[-.][0-9]+)*\.?$", re.I)
 # What stands for a digit on a page number that was misread. Fixed values.
 _D = "[0-9OoQlI|SsBZzgqb]"
@@ -126,6 +132,12 @@ def form(token: str) -> str:
     return "".join(out)
 
 
+def _one_form(text: str) -> str:
+    """The text with compatibility forms, dashes and invisible characters brought to one form, so that a code
+    written with another dash is not taken for two."""
+    return unicodedata.normalize("NFKC", text).translate(_DASHES)
+
+
 def _pair_stream(text: str) -> np.ndarray:
     """Code points with digits and other letters taken together, for pairs of characters."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -147,6 +159,7 @@ class Vocabulary:
     characters: set[str]
     pairs: np.ndarray  # sorted keys first << 32 | second
     pair_counts: np.ndarray
+    models: dict[str, set[str]] = field(default_factory=dict)  # by form, of forms whose tokens are few and frequent
     trie: dict = field(default_factory=dict)
     by_right: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
@@ -213,6 +226,11 @@ class Vocabulary:
                     self.memo[low] = min(found, key=lambda x: (not _one_confusion(low, x[0]), x[1], -x[2], x[0]))[0]
         return self.memo[low]
 
+    def no_model(self, token: str) -> bool:
+        """Whether a token has the form of models but is none of them."""
+        known = self.models.get(form(token))
+        return known is not None and token not in known
+
     def known_pairs(self, cp: np.ndarray) -> np.ndarray:
         key = cp[:-1] << 32 | cp[1:]
         at = np.minimum(np.searchsorted(self.pairs, key), max(0, len(self.pairs) - 1))
@@ -238,7 +256,7 @@ class Vocabulary:
 
 
 # Letters that scanning takes for one another, longer spellings among them.
-CONFUSIONS = (("rn", "m"), ("cl", "d"), ("ri", "n"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("in", "m"), ("l", "i"), ("l", "1"), ("o", "0"), ("s", "5"), ("b", "8"), ("e", "c"), ("t", "f"), ("h", "b"), ("q", "g"), ("ni", "m"), ("ci", "d"), ("i", "1"), ("u", "v"), ("a", "o"), ("z", "2"), ("g", "9"), ("a:", "\u00e4"), ("o:", "\u00f6"), ("u:", "\u00fc"))
+CONFUSIONS = (("rn", "m"), ("cl", "d"), ("ri", "n"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("in", "m"), ("l", "i"), ("l", "1"), ("o", "0"), ("s", "5"), ("b", "8"), ("e", "c"), ("t", "f"), ("h", "b"), ("q", "g"), ("ni", "m"), ("ci", "d"), ("i", "1"), ("u", "v"), ("a", "o"), ("z", "2"), ("g", "9"), ("ii", "\u00fc"), ("a:", "\u00e4"), ("o:", "\u00f6"), ("u:", "\u00fc"))
 
 
 def _one_confusion(seen: str, meant: str) -> bool:
@@ -320,6 +338,9 @@ class Page:
             x = self.lines[i]
             if self.wide:
                 nxt = self.body[k + 1] if k + 1 < len(self.body) else None
+                if carry and (rest := re.match(r"[-.][A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*", x)):
+                    yield carry[1][0], carry[0].rstrip("-.") + rest[0], [*carry[1], i]
+                    carry, x = None, " " * rest.end() + x[rest.end() :]
                 found = list(_CODE.finditer(x))
                 for m in found:
                     tok, own = m[0], [i]
@@ -356,10 +377,12 @@ class Page:
             if any(c.isdigit() for c in token):
                 core = "".join(c for c in token if c in voc.characters or c.isalnum())
                 for t in _CODE.findall(core):
-                    if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and form(t) not in voc.forms:
-                        low = t.lower()
-                        fixed = voc.correction(low) if sum(c.isdigit() for c in t) <= 2 and len(t) > 3 else None
-                        self.glyph[i].append((t, fixed or ""))
+                    if not any(c.isdigit() for c in t) or not any(c.isalpha() for c in t):
+                        continue
+                    fixed = voc.correction(t.lower()) if sum(c.isdigit() for c in t) <= 2 and len(t) > 3 else None
+                    word = fixed is not None and sum(c.isdigit() for c in t) == 1 and _one_confusion(t.lower(), fixed)
+                    if word or form(t) not in voc.forms or voc.no_model(t):
+                        self.glyph[i].append((t, fixed or self._digits(t)))
                 continue
             clean = "".join(c for c in token if c.isalpha() or c in "-'\u2019")
             clean = clean.strip("-'\u2019")
@@ -369,10 +392,19 @@ class Page:
                 if clean != token.strip("-'\u2019") and token.lower() not in voc.words and clean.lower() not in voc.words:
                     self.glyph[i].append((token, clean))
                 continue
+            if "-" in clean and (fixed := voc.correction(clean)):
+                self.glyph[i].append((clean, fixed))
+                continue
             for p in clean.split("-"):
                 if len(p) >= 3 and p.lower() not in voc.words and (fixed := voc.correction(p)):
                     self.glyph[i].append((p, fixed))
 
+    def _digits(self, token: str) -> str:
+        """The token with its last run of letters read as digits, if that gives a number or a code; else empty."""
+        head, tail = re.match(r"(.*?)([A-Za-z0-9.]*)$", token).groups()
+        read = head + tail.translate(_AS_DIGITS)
+        return read if read.replace(".", "").isdigit() or form(read) in self.voc.forms else ""
+
     def _unseen(self) -> Iterator[tuple[int, str]]:
         for i, token, own in self._tokens():
             core = token.strip(".,;:!?()[]\"'\u201c\u201d\u201e\u00bb\u00ab\u3002\uff0c\uff1b\uff1a\uff08\uff09")
@@ -390,6 +422,10 @@ class Page:
                     continue
                 if not self.wide:
                     continue
+                tail = re.match(r"[-.]?[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*", self.lines[own[-1]])[0]
+                read = core[: -len(tail)] + tail.translate(_AS_DIGITS)
+                if core.endswith(tail) and read != core and form(read) in self.voc.forms:
+                    i = own[-1]
             yield i, core
 
     def _wide_characters(self) -> None:
@@ -453,7 +489,7 @@ class Page:
                 elif seen and not any(c.isalnum() for c in seen):
                     x = x.replace(seen, meant)
                 elif meant:
-                    x = re.sub(rf"(?<!\w){re.escape(seen)}(?!\w)", lambda m, w=meant: w.capitalize() if m[0][:1].isupper() else w, x)
+                    x = re.sub(rf"(?<!\w){re.escape(seen)}(?!\w)", lambda m, w=meant: w.capitalize() if m[0][:1].isupper() and w.isalpha() else w, x)
             s = x.strip() if not self.wide else x.strip("\r")
             if not s.strip() or self.caption[i]:
                 paragraphs += [p for p in (now, s.strip()) if p]
@@ -494,16 +530,18 @@ def is_scanned(text: str, page: int | None) -> bool:
 
 
 def vocabulary_counts(rows: DataFrame) -> DataFrame:
-    """(kind, entry, n): words, forms, characters and pairs of characters of the records that are not scanned."""
+    """(kind, entry, n): words, forms, models, characters and pairs of characters of the records that are not scanned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, forms, chars, pairs = Counter(), Counter(), Counter(), Counter()
+        words, forms, models, chars, pairs = Counter(), Counter(), Counter(), Counter(), Counter()
         for batch in batches:
             texts = [t for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not is_scanned(t, p)]
             for first in range(0, len(texts), 200):
                 joined = "\n".join(texts[first : first + 200])
                 words.update(_WORD.findall(joined.lower()))
-                forms.update(form(t) for t in _CODE.findall(joined) if not t.isdigit() and not t.isalpha())
+                codes = [t for t in _CODE.findall(_one_form(joined)) if len(t) <= 40 and not t.isdigit() and not t.isalpha()]
+                forms.update(map(form, codes))
+                models.update(t for t in codes if len(t) <= 8 and t.isalnum())
                 cp = _pair_stream(joined)
                 wide = _wide_at(cp)
                 key, n = np.unique((cp[:-1] << 32 | cp[1:])[wide[:-1] | wide[1:]], return_counts=True)
@@ -511,7 +549,7 @@ def vocabulary_counts(rows: DataFrame) -> DataFrame:
                 odd = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
                 c, n = np.unique(odd, return_counts=True)
                 chars.update(dict(zip(map(chr, c.tolist()), n.tolist(), strict=True)))
-        for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0]) and len(w) <= 40}), ("form", forms), ("char", chars), ("pair", pairs)):
+        for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0]) and len(w) <= 40}), ("form", forms), ("model", models), ("char", chars), ("pair", pairs)):
             entry = [str(k) for k in counts]
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(entry), pa.string()), pa.array(entry, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "entry", "n"])
 
@@ -519,16 +557,27 @@ def vocabulary_counts(rows: DataFrame) -> DataFrame:
 
 
 def vocabulary(rows: DataFrame) -> Vocabulary:
-    """The entries of at least ``LEAST_SHARE`` of their kind, and at least two occurrences (three for forms)."""
+    """The entries of at least ``LEAST_SHARE`` (forms: ``FORM_SHARE``) of their kind, and at least two occurrences (three for forms)."""
     counts = vocabulary_counts(rows)
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
-    least = F.greatest(F.when(F.col("kind") == "form", 3).otherwise(2), F.ceil(F.col("total") * LEAST_SHARE))
+    is_form = F.col("kind") == "form"
+    least = F.greatest(F.when(is_form, 3).otherwise(2), F.ceil(F.col("total") * F.when(is_form, FORM_SHARE).otherwise(LEAST_SHARE)))
     kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= least).select("kind", "entry", "n").toPandas()  # four totals; at most 1 / LEAST_SHARE entries of a kind
     by = {k: dict(zip(g.entry, g.n, strict=True)) for k, g in kept.groupby("kind")}
-    pairs = by.get("pair", {})
+    pairs, forms = by.get("pair", {}), set(by.get("form", {}))
     keys = np.array([int(k) for k in pairs], np.int64)
     order = np.argsort(keys)
-    return Vocabulary(by.get("word", {}), set(by.get("form", {})), set(by.get("char", {})), keys[order], np.array(list(pairs.values()), np.int64)[order])
+    return Vocabulary(by.get("word", {}), forms, set(by.get("char", {})), keys[order], np.array(list(pairs.values()), np.int64)[order], closed(by.get("model", {}), forms))
+
+
+def closed(tokens: dict[str, int], forms: set[str], repeats: int = 10, rare: float = 0.01) -> dict[str, set[str]]:
+    """The tokens of each known form whose tokens stand ``repeats`` times on average, as the names of models do
+    and numbers of orders do not; tokens with less than ``rare`` of that average are none of them."""
+    by: dict[str, dict[str, int]] = {}
+    for t, n in tokens.items():
+        by.setdefault(form(t), {})[t] = n
+    mean = {f: sum(g.values()) / len(g) for f, g in by.items() if f in forms}
+    return {f: {t for t, n in by[f].items() if n >= rare * m} for f, m in mean.items() if m >= repeats}
 
 
 def _pages(rows: DataFrame, voc: Vocabulary, schema: str, emit) -> DataFrame:  # noqa: ANN001

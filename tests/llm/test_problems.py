@@ -209,6 +209,27 @@ def test_wide_page_noise():
     assert p.noise() == [(0, "pageno"), (3, "glyph")] and "由主管" in p.repaired() and p.repaired().startswith("蓝牙")
 
 
+def test_models_and_codes_on_pages():
+    models = pages.closed({**{f"X{i}": 40 for i in (3, 12, 31)}, "X8": 1, "5A": 900, **{f"QA{i}": 1 for i in range(30)}}, {"A0"}, repeats=3)
+    assert models == {"A0": {"X3", "X12", "X31", *(f"QA{i}" for i in range(30)), "X8"}}
+    assert pages.closed({"X3": 500, "X12": 500, "X8": 2}, {"A0"}) == {"A0": {"X3", "X12"}}
+    assert pages.closed({f"QA{i}": 2 for i in range(30)}, {"A0"}) == {}
+    voc = vocabulary()
+    voc.forms.add("A0")
+    voc.models = {"A0": {"X31"}}
+    text = "蓝牙天线接触不良，产品经理可烘干 X31\n蓝牙天线接触不良，产品经理可烘干 VZ\n-417O，次日由主管抽查。X3l 蓝牙天线\n接触不良，产品经理 9l 可烘干，X13 蓝牙天"
+    p = pages.Page(text, [], voc)
+    assert [(i, n) for i, n in p.noise() if n == "glyph"] == [(2, "glyph"), (3, "glyph")]
+    assert "X31 蓝牙天线" in p.repaired() and "91 可烘干" in p.repaired()
+    latin = pages.Page("The rn0ves from 7 to 9 and m0ves to the battery tray\nbefore the quick-reiease clip", [], voc)
+    assert ("m0ves", "moves") in latin.glyph[0] and ("quick-reiease", "quick-release") in latin.glyph[1]
+
+
+def test_forms_are_counted_in_one_form(spark):
+    rows = frame(spark, [("parents", str(i), f"Code VZ\u22125{i} and VZ\u20115{i} and VZ-\uff15{i}.", None, 0) for i in range(5)], "record_table string, record_id string, text string, file string, page int")
+    assert pages.vocabulary(rows).forms == {"A-0"}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from(WORDS), st.integers(0, 30), st.sampled_from("abcdefghijklmnopqrstuvwxyz-"), st.integers(0, 2))
 def test_levenshtein_automaton_is_complete(word, at, letter, kind):
