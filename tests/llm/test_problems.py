@@ -215,7 +215,7 @@ def test_models_and_codes_on_pages():
     assert pages.closed({"X3": 500, "X12": 500, "X8": 2}, {"A0"}) == {"A0": {"X3", "X12"}}
     assert pages.closed({f"QA{i}": 2 for i in range(30)}, {"A0"}) == {}
     voc = vocabulary()
-    voc.forms.add("A0")
+    voc.forms |= {"A0", "A-0"}
     voc.models = {"A0": {"X31"}}
     text = "蓝牙天线接触不良，产品经理可烘干 X31\n蓝牙天线接触不良，产品经理可烘干 VZ\n-417O，次日由主管抽查。X3l 蓝牙天线\n接触不良，产品经理 9l 可烘干，X13 蓝牙天"
     p = pages.Page(text, [], voc)
