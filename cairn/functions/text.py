@@ -58,6 +58,14 @@ def cut(text: Column, most: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(mark))).otherwise(text)
 
 
+def cut_at_sentence(text: Column, most: int, mark: str) -> Column:
+    """The text within ``most`` characters, the mark included: longer texts end with their last whole sentence,
+    or anywhere if none ends before. Null stays null."""
+    head = F.substring(text, 1, most - len(mark))
+    whole = F.regexp_extract(head, r"(?s)^.*[。！？!?；;\n]", 0)
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(whole != "", whole).otherwise(head), F.lit(mark)))
+
+
 def squeeze(text: Column) -> Column:
     """White space collapsed to single blanks, none at the ends."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))

@@ -68,6 +68,17 @@ def table_windows(tables: DataFrame, key: str, text: str = "text", chars: int =
     return done.select(key, "window", "w.first_row", "w.last_row", "w.chars")
 
 
+def table_extents(df: DataFrame, key: str, text: str = "text", least: int = 2) -> DataFrame:
+    """(key, first_line, last_line, line_count): the runs of ``least`` or more table rows, lines that begin with ``|``.
+
+    Rows of one run keep the same distance to their rank among the rows of the text.
+    """
+    rows = lines(df, key, text=text).filter(strip(F.col("line")).startswith("|")).select(key, F.col("line_no").cast("bigint").alias("line_no"))
+    rows = rows.withColumn("run", F.col("line_no") - F.row_number().over(Window.partitionBy(key).orderBy("line_no")))
+    runs = rows.groupBy(key, "run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("line_count"))
+    return runs.filter(F.col("line_count") >= least).drop("run")
+
+
 def heading_lines(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, level, title) of the heading lines."""
     h = lines(df, key, text=text).withColumn("h", heading(F.col("line"))).filter("h is not null")

@@ -24,6 +24,15 @@ def table_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.table_windows(s, "section_id", chars=400)
 
 
+def table_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.table_extents(_blocks(spark, sf_dir, "text"), "parent_id")
+
+
+def sentence_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _blocks(spark, sf_dir, "text")
+    return b.select("parent_id", tx.cut_at_sentence(F.col("text"), 300, " [...]").alias("cut"))
+
+
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.heading_lines(_blocks(spark, sf_dir, "text"), "parent_id").withColumn("line_no", F.col("line_no").cast("bigint"))
 
@@ -177,7 +186,7 @@ def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        repeated_lines, table_windows, heading_levels, heading_paths, outline_paths, chunk_ids, two_level_split, token_totals, section_kinds, file_types, search_forms, acl_visible_counts, acl_legacy_sources,
+        repeated_lines, table_windows, table_extents, sentence_cuts, heading_levels, heading_paths, outline_paths, chunk_ids, two_level_split, token_totals, section_kinds, file_types, search_forms, acl_visible_counts, acl_legacy_sources,
         stale_schema, stale_chunks, consistency_report, doc_resolve, list_documents, upsert_documents, schema_union, unsafe_names, pii_masked, pii_kinds, moderation_verdicts, doc_reject,
         rewrite_gate, rewrite_accepts, divide_gate, history_last8, intent_rules, session_gaps,
     )
@@ -235,6 +244,8 @@ SQL = {
               FROM (SELECT *, length(r[i + 1]) + 1 AS c, (i - first >= 50 OR size + length(r[i + 1]) + 1 > 400) AS brk FROM f WHERE i < len(r)))
         SELECT section_id, window_no::int AS "window", min(first)::bigint AS first_row, max(i - 1)::bigint AS last_row, max(size)::bigint AS chars FROM f GROUP BY 1, 2""",
     "heading_levels": f"WITH {_HEAD} SELECT * FROM h",
+    "table_extents": f"WITH {_LINES}, r AS (SELECT parent_id, line_no, line_no - row_number() OVER (PARTITION BY parent_id ORDER BY line_no) AS island FROM l WHERE starts_with({_S}, '|')) SELECT parent_id, min(line_no)::bigint AS first_line, max(line_no)::bigint AS last_line, count(*)::bigint AS line_count FROM r GROUP BY parent_id, island HAVING count(*) > 1",
+    "sentence_cuts": rf"WITH {_B}, c AS (SELECT parent_id, text, left(text, 294) AS head, regexp_extract(left(text, 294), '(?s)^.*[。！？!?；;\n]', 0) AS whole FROM b) SELECT parent_id, CASE WHEN length(text) <= 300 THEN text WHEN whole <> '' THEN whole || ' [...]' ELSE head || ' [...]' END AS cut FROM c",
     "heading_paths": f"WITH {_HEAD}, p AS (SELECT parent_id, line_no, level, {_AT} FROM h WINDOW w AS (PARTITION BY parent_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)) SELECT parent_id, line_no, concat_ws(' > ', {_PARTS}) AS path FROM p",
     "outline_paths": f"WITH {_B}, g AS (SELECT doc_id, breadcrumb, min(order_idx) AS first FROM b WHERE breadcrumb <> '' GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, breadcrumb)::int AS nth FROM g) WHERE nth <= 20",
     "chunk_ids": f"WITH {_B} SELECT parent_id, 'p_' || substr(sha1(concat_ws('|', source, order_idx::varchar)), 1, 30) AS made_id FROM b",

@@ -21,6 +21,10 @@ def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.term_stats(sparse.tokenized(p.chunks, "id", "text"))
 
 
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_stats(spark, sf_dir).orderBy(F.desc("df"), "term").limit(20)
+
+
 def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pipeline(spark, sf_dir)
     return sparse.tokenized(p.chunks, "id", "text").select("id", "len")
@@ -154,7 +158,7 @@ def score_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        term_stats, doc_lengths, doc_length_hist, term_idf, sparse_topk, sparse_acl_topk, overlap_topk, rrf_fused, rrf_k_ablation, rerank_scores, diverse_select, parent_expand,
+        term_stats, top_terms, doc_lengths, doc_length_hist, term_idf, sparse_topk, sparse_acl_topk, overlap_topk, rrf_fused, rrf_k_ablation, rerank_scores, diverse_select, parent_expand,
         char_pack_skip, token_pack_prefix, context_render, sparse_only_degrade, rerank_degrade, dense_topk, dense_label_vote, first_ranks, recall_mrr, recall_by_group, rerank_gain, misses, score_separation,
     )
 }
@@ -225,6 +229,7 @@ tk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY sc
 
 SQL = {
     "term_stats": f"WITH {_CHUNKS} SELECT term, df, cf FROM st",
+    "top_terms": f"WITH {_CHUNKS} SELECT term, df, cf FROM st ORDER BY df DESC, term LIMIT 20",
     "doc_lengths": f"WITH {_CHUNKS} SELECT id, len FROM ln",
     "doc_length_hist": f"WITH {_CHUNKS} SELECT (len // 100 * 100)::bigint AS bin, count(*)::bigint AS chunks, min(len)::bigint AS least, max(len)::bigint AS most FROM ln GROUP BY 1",
     "term_idf": f"WITH {_CHUNKS} SELECT term, round(idf, 6) AS idf FROM w",

@@ -385,3 +385,12 @@ def test_as_of_over_slices(spark):
     assert {r.id: r.v for r in got.collect()} == want
     empty = spark.createDataFrame([], kinds + "v bigint")
     assert [r.v for r in state.as_of(spark.createDataFrame(left[:2], kinds + "id bigint"), empty, "u", "ts", "v").collect()] == [None, None]
+
+
+def test_table_extents_and_sentence_cuts(spark):
+    df = spark.createDataFrame([("a", "x\n| 1 |\n | 2 |\ny\n| 3 |\n\n| 4 |\n| 5 |\n| 6 |"), ("b", "|"), ("c", None), ("d", "")], "k string, text string").withColumn("run", F.lit("own"))
+    assert sorted(map(tuple, structure.table_extents(df, "k").collect())) == [("a", 1, 2, 2), ("a", 6, 8, 3)]
+    assert structure.table_extents(df.limit(0), "k").count() == 0
+    texts = [("short",), ("One two! Three four five",), ("no end at all in here",), (None,), ("",), ("x" * 100_000,)]
+    got = [r.c for r in spark.createDataFrame(texts, "t string").select(tx.cut_at_sentence(F.col("t"), 16, "~~").alias("c")).collect()]
+    assert got == ["short", "One two!~~", "no end at all ~~", None, "", "x" * 14 + "~~"]
