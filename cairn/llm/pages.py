@@ -346,7 +346,7 @@ class Page:
                     tok, own = m[0], [i]
                     if carry and m.start() == 0:
                         tok, own, carry = carry[0] + tok, [*carry[1], i], None
-                    if m.end() == len(x) and nxt is not None or (nxt is not None and x[m.end() :] in ("-", ".")):
+                    if m.end() == len(x) and nxt is not None or (nxt is not None and (x[m.end() :] == "-" or x[m.end() :] == "." and tok[-1].isdigit())):
                         carry = (tok + x[m.end() :], own)
                         continue
                     yield own[0], tok, own
