@@ -7,9 +7,11 @@ letter runs, two letters of scripts without small letters and five of others, ha
 
 Only stretches of a text that hold terms typical of labelled abuse can have a labelled example of abuse close
 by, so a stretch is a maximal run of such terms; its whole term vector is compared with the stretches of
-labelled documents. Document frequencies are counted over all documents. The fit takes at most
-``MAX_LABELLED`` labelled documents of each class (smallest hashes of their ids); everything that is sent to
-the tasks has that bound or ``TERMS`` slots.
+labelled documents. Document frequencies are counted over all different texts, so that copies make no term
+common, and labels likewise. A term is typical if its rate in labelled abuse is well above its usual one, that
+of all texts within what the benign labels allow; frequent terms need more evidence, but none is too frequent.
+The fit takes at most ``MAX_LABELLED`` labelled texts of each class (smallest hashes of their ids); everything
+that is sent to the tasks has that bound or ``TERMS`` slots.
 """
 
 from __future__ import annotations
@@ -38,8 +40,12 @@ FEWEST, DENSITY = 10, 0.5
 WIDE = 2
 #: A labelled example of abuse that is like none of another document (cosine) must have so many terms.
 ALONE, SUPPORT = 16, 0.2
-#: Terms in more than this share of all documents are not typical of anything.
-COMMON = 0.005
+#: A typical term's rate in abuse is so many times the usual one.
+LIFT = 3
+#: Terms of more than this usual rate are typical only if they are so many deviations above it.
+COMMON, SURE = 0.005, 5
+#: Deviations that the number of benign texts with a term allows for their rate.
+SPREAD = 3
 #: Examples of a block of the index.
 BLOCK = 32
 # Digits and signs that stand for letters inside words.
@@ -110,20 +116,29 @@ def _parts(texts: list[str], size: int = 200_000) -> Iterator[tuple[int, list[st
         yield first, texts[first:]
 
 
+def _frequencies(texts: list[str]) -> np.ndarray:
+    """In how many of the texts each term slot occurs."""
+    total = np.zeros(TERMS, np.int64)
+    for _, part in _parts(texts):
+        term, owner, _ = terms(part)
+        key = np.unique((owner * TERMS + term)[term >= 0])
+        total += np.bincount(key % TERMS, minlength=TERMS)
+    return total
+
+
 def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(term int, df bigint): in how many rows of ``text`` each term slot occurs."""
+    """(term int, df bigint): in how many different texts each term slot occurs; term -1 counts the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(TERMS, np.int64)
+        total, texts = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for _, part in _parts([t for t in batch.column(0).to_pylist() if t]):
-                term, owner, _ = terms(part)
-                key = np.unique((owner * TERMS + term)[term >= 0])
-                total += np.bincount(key % TERMS, minlength=TERMS)
+            for _, part in _parts(batch.column(0).to_pylist()):
+                total += _frequencies(part)
+                texts += len(part)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[texts, total[at]])], ["term", "df"])
 
-    return documents.select(text).mapInArrow(run, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    return documents.select(text).filter(F.length(text) > 0).distinct().mapInArrow(run, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def stretches(term: np.ndarray, owner: np.ndarray, wide: np.ndarray, strength: np.ndarray) -> list[tuple[int, int]]:
@@ -228,19 +243,27 @@ def _vector(term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, w / max(1e-9, float(np.sqrt((w * w).sum())))
 
 
-def fit(labelled: list[tuple[int, str, int]], df: np.ndarray, documents: int) -> Model:
-    """The model of labelled (doc_id, text, label) rows and of document frequencies over ``documents`` rows."""
-    labelled = sorted((r for r in labelled if r[1]), key=lambda r: r[0])
-    bad = [r for r in labelled if r[2]]
-    idf = np.log((1 + documents) / (1 + df)) + 1
-    n_bad = np.zeros(TERMS)
-    for _, part in _parts([r[1] for r in bad]):
-        term, owner, _ = terms(part)
-        key = np.unique((owner * TERMS + term)[term >= 0])
-        n_bad += np.bincount(key % TERMS, minlength=TERMS)
-    expected = len(bad) * df / max(1, documents)
+def strengths(bad: list[str], good: list[str], df: np.ndarray, texts: int) -> np.ndarray:
+    """How typical of abuse each term is, 0 if not at all, from labelled texts of both kinds and the frequencies
+    over all ``texts``.
+
+    The usual rate is that among all texts; where abuse itself makes a term frequent, or labelled texts are of
+    another kind than the rest, it is the nearest rate that the number of benign texts with the term allows.
+    """
+    n_bad, n_good = _frequencies(bad), _frequencies(good)
+    spread = SPREAD * np.sqrt(n_good)
+    usual = np.clip(df / max(1, texts), (n_good - spread) / max(1, len(good)), (n_good + spread + SPREAD) / max(1, len(good)))
+    expected = len(bad) * usual
     lift = (n_bad + 0.25) / (expected + 0.25)
-    strength = np.where((n_bad > 0) & (lift > 3) & (df <= max(3, COMMON * documents)), np.log(lift), 0.0)
+    no_chance = (usual <= COMMON) | (n_bad - expected > SURE * np.sqrt(expected))
+    return np.where((lift > LIFT) & no_chance, np.log(lift), 0.0)
+
+
+def fit(labelled: list[tuple[int, str, int]], df: np.ndarray, texts: int) -> Model:
+    """The model of labelled (doc_id, text, label) rows, no text twice, and of frequencies over ``texts`` texts."""
+    labelled = sorted((r for r in labelled if r[1]), key=lambda r: r[0])
+    idf = np.log((1 + texts) / (1 + df)) + 1
+    strength = strengths([r[1] for r in labelled if r[2]], [r[1] for r in labelled if not r[2]], df, texts)
     vectors, labels, source, sizes = [], [], [], []
     for doc, text, label in labelled:
         term, owner, wide = terms([text])
@@ -268,15 +291,18 @@ def majority(labels: DataFrame) -> DataFrame:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """The model of all documents' frequencies and of a bounded sample of the labelled ones."""
+    """The model of all texts' frequencies and of a bounded sample of the labelled ones; copies are one text,
+    labelled as most of them are."""
     marked = majority(labels).join(documents.select("doc_id", "text"), "doc_id").filter("length(text) > 0")
+    marked = marked.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("m")).filter("m <> 0.5")
+    marked = marked.select("doc_id", "text", (F.col("m") > 0.5).cast("int").alias("toxic"))
     rows: list = []
     for toxic in (1, 0):
-        rows += marked.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", "text", "toxic").collect()
-    df = np.zeros(TERMS, np.int64)
-    for term, n in document_frequencies(documents).toPandas().itertuples(index=False):  # at most TERMS rows
+        rows += marked.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
+    df = np.zeros(TERMS + 1, np.int64)
+    for term, n in document_frequencies(documents).toPandas().itertuples(index=False):  # at most TERMS rows and one
         df[term] = n
-    return fit([tuple(r) for r in rows], df, documents.filter("length(text) > 0").count())
+    return fit([tuple(r) for r in rows], df[:TERMS], int(df[TERMS]))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:

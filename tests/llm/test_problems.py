@@ -420,6 +420,19 @@ def test_abuse_on_held_out_texts(spark):
     assert abuse.scored(d, empty).filter("score > 0").count() == 0
 
 
+@pytest.mark.parametrize("number", ["", " {}"])
+def test_abuse_with_many_copies(spark, number):
+    # a third of the rows are copies of one abusive text, or differ from each other in a number
+    rng = random.Random(3)
+    line = "you are a bunch of scumbags and should all go to hell"
+    docs = [(i, "a", f"the {rng.choice(['pump', 'valve', 'filter'])} moves from {rng.randint(1, 999)} to {rng.randint(1, 999)} within {i} days") for i in range(800)]
+    docs += [(i, "a", line + number.format(i)) for i in range(800, 1200)]
+    d = frame(spark, docs, "doc_id bigint, source string, text string")
+    lab = frame(spark, [(i, "x", int(i >= 800)) for i in range(0, 1200, 6)], "doc_id bigint, annotator string, toxic int")
+    got = {r.doc_id: r.score for r in abuse.scored(d, abuse.fitted(d, lab)).collect()}
+    assert {i for i, s in got.items() if s >= abuse.CASE} == set(range(800, 1200))
+
+
 def test_vocabulary_files_are_not_in_the_repository():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     names = {f for _, _, files in os.walk(root) for f in files}
