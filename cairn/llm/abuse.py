@@ -5,9 +5,10 @@ closeness give a score and its evidence. Texts are folded first (case, compatibi
 digits inside words, everything but letters dropped), so that common disguises do not matter. Terms are
 letter runs, two letters of scripts without small letters and five of others, hashed to ``TERMS`` slots.
 
-Only stretches of a text that hold terms typical of labelled abuse can have a labelled example of abuse close
-by, so a stretch is a maximal run of such terms; its whole term vector is compared with the stretches of
-labelled documents. Document frequencies are counted over all different texts, so that copies make no term
+Windows of a text are compared with those of labelled texts: stretches, which are maximal runs of terms typical
+of labelled abuse, of any length, and every sentence. A window that cannot have an example of abuse close by is
+told from the largest weight of each term in such examples. Short windows must be closer than long ones, as one
+term that they share makes up much of them. Document frequencies are counted over all different texts, so that copies make no term
 common, and labels likewise. A term is typical if its rate in labelled abuse is well above its usual one, that
 of all texts within what the benign labels allow; frequent terms need more evidence, but none is too frequent.
 The fit takes at most ``MAX_LABELLED`` labelled texts of each class (smallest hashes of their ids); everything
@@ -16,6 +17,7 @@ that is sent to the tasks has that bound or ``TERMS`` slots.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +36,13 @@ TERMS = 1 << 19
 MAX_LABELLED = 4000
 #: Neighbours that vote, the least cosine of one that counts, and the score from which a text is a case.
 NEIGHBOURS, LEAST_COSINE, CASE = 7, 0.3, 0.5
-#: Least number of typical terms of a stretch, and their least share of its letters.
+#: Number of typical terms from which a stretch is long, and their least share of its letters.
 FEWEST, DENSITY = 10, 0.5
+#: Least cosine that counts for short stretches and sentences.
+CLOSE = 0.6
+#: A short example of abuse has a term that so many labelled texts of abuse hold, at a rate of at least this part
+#: of the rate usual in long ones: two or three texts share a rare term by chance.
+SEEN, PURE = 4, 0.5
 #: A letter of scripts without small letters counts as so many.
 WIDE = 2
 #: A labelled example of abuse that is like none of another document (cosine) must have so many terms.
@@ -50,6 +57,7 @@ SPREAD = 3
 BLOCK = 32
 # Digits and signs that stand for letters inside words.
 LEET, LEET_LETTERS = "013457@$", "oieastas"
+_SENTENCES = re.compile(r"[\n.!?;:,|\u3002\uff01\uff1f\uff1b\uff1a\uff0c\u3001]+(?=[\s\W]|$|[\u2e80-\U0003ffff])")
 
 
 @lru_cache(maxsize=1)
@@ -141,12 +149,17 @@ def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(text).filter(F.length(text) > 0).distinct().mapInArrow(run, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def stretches(term: np.ndarray, owner: np.ndarray, wide: np.ndarray, strength: np.ndarray) -> list[tuple[int, int]]:
-    """(begin, end) of the stretches that consist mostly of typical terms, over letters.
+def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """All sentences, parts between any marks of punctuation, and the text of each."""
+    parts = [[x for x in _SENTENCES.split(t) if x and not x.isspace()] for t in texts]
+    return [x for p in parts for x in p], np.repeat(np.arange(len(texts)), [len(p) for p in parts])
 
-    Gaps of the length of a filled-in word are bridged. A stretch has at least ``FEWEST`` typical terms
-    (half as many in scripts without small letters), and they are at least ``DENSITY`` of its letters: what
-    ordinary sentences have of such terms stands where two of their parts meet, and is too sparse for that.
+
+def stretches(term: np.ndarray, owner: np.ndarray, wide: np.ndarray, strength: np.ndarray) -> list[tuple[int, int, bool]]:
+    """(begin, end, long) of the stretches that consist mostly of typical terms, over letters.
+
+    Gaps of the length of a filled-in word are bridged. Typical terms are at least ``DENSITY`` of the letters;
+    a long stretch has at least ``FEWEST`` of them (half as many in scripts without small letters).
     """
     at = np.flatnonzero((term >= 0) & (strength[np.maximum(term, 0)] > 0))
     if not len(at):
@@ -157,8 +170,9 @@ def stretches(term: np.ndarray, owner: np.ndarray, wide: np.ndarray, strength: n
     end = np.r_[begin[1:], len(at)]
     first, last = at[begin], at[end - 1] + 1
     count = end - begin
-    ok = (count * np.where(wide[first], WIDE, 1) >= FEWEST) & (count >= DENSITY * (last - first))
-    return list(zip(first[ok].tolist(), last[ok].tolist(), strict=True))
+    is_long = count * np.where(wide[first], WIDE, 1) >= FEWEST
+    ok = count >= DENSITY * (last - first)
+    return list(zip(first[ok].tolist(), last[ok].tolist(), is_long[ok].tolist(), strict=True))
 
 
 class BlockMaxIndex:
@@ -208,26 +222,59 @@ class Model:
     index: BlockMaxIndex
     abusive: np.ndarray  # label of each example
     source: np.ndarray  # document of each example
+    most: np.ndarray  # largest weight of each term in an example of abuse
 
     def vector(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _vector(term, self.idf)
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[int | None]]:
-        """Score of each text and the labelled document nearest to its most abusive stretch."""
+        """Score of each text and the labelled document nearest to its most abusive window."""
         scores = np.zeros(len(texts))
         evidence: list[int | None] = [None] * len(texts)
         query = np.zeros(TERMS)
+
+        def judge(doc: int, t: np.ndarray, least: float) -> None:
+            s, why = vote(self.index.nearest(self.vector(t), NEIGHBOURS, least, query), self.abusive)
+            if s > scores[doc]:
+                scores[doc], evidence[doc] = s, None if why is None else int(self.source[why])
+
         for first, part in _parts(texts):
             term, owner, wide = terms(part)
-            for b, e in stretches(term, owner, wide, self.strength):
-                near = self.index.nearest(self.vector(term[b:e]), NEIGHBOURS, LEAST_COSINE, query)
-                s, why = vote(near, self.abusive)
-                doc = first + int(owner[b])
-                if s > scores[doc]:
-                    scores[doc], evidence[doc] = s, None if why is None else int(self.source[why])
+            for b, e, is_long in stretches(term, owner, wide, self.strength):
+                judge(first + int(owner[b]), term[b:e], LEAST_COSINE if is_long else CLOSE)
+            said, of = sentences(part)
+            for i, t in near_sentences(said, self.idf, self.most, CLOSE):
+                judge(first + int(of[i]), t, CLOSE)
         return scores, evidence
 
 
+def near_sentences(said: list[str], idf: np.ndarray, most: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
+    """(number, terms) of every sentence that may have an example of cosine ``least``; ``most`` has the largest
+    weight of each term in an example."""
+    if not said or not most.any():
+        return []
+    term, owner, _ = terms(said)
+    term, owner = term[term >= 0], owner[term >= 0]
+    hit = np.zeros(len(said), bool)
+    hit[owner[most[term] > 0]] = True
+    term, owner = term[hit[owner]], owner[hit[owner]]
+    key, n = np.unique(owner * TERMS + term, return_counts=True)
+    w, of, t = (1 + np.log(n)) * idf[key % TERMS], key // TERMS, key % TERMS
+    norm = np.sqrt(np.bincount(of, w * w, minlength=len(said)))
+    bound = np.bincount(of, w * most[t], minlength=len(said)) / np.maximum(norm, 1e-9)
+    at = np.flatnonzero(bound >= least - 1e-9)
+    begin, end = np.searchsorted(owner, at), np.searchsorted(owner, at, "right")
+    return [(i, term[b:e]) for i, b, e in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True)]
+
+
+def largest(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The largest weight of each term in any of the vectors."""
+    most = np.zeros(TERMS)
+    for t, w in vectors:
+        most[t] = np.maximum(most[t], w)
+    return most
+
+
 def vote(near: list[tuple[float, int]], abusive: np.ndarray) -> tuple[float, int | None]:
     """Share of abusive neighbours, weighted by squared cosine against a benign prior, and the nearest of them."""
     yes = [(c, i) for c, i in near if abusive[i]]
@@ -243,9 +290,9 @@ def _vector(term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, w / max(1e-9, float(np.sqrt((w * w).sum())))
 
 
-def strengths(bad: list[str], good: list[str], df: np.ndarray, texts: int) -> np.ndarray:
+def strengths(bad: list[str], good: list[str], df: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
     """How typical of abuse each term is, 0 if not at all, from labelled texts of both kinds and the frequencies
-    over all ``texts``.
+    over all ``texts``; and how many times its usual rate it has there, 0 if it stands in less than ``SEEN``.
 
     The usual rate is that among all texts; where abuse itself makes a term frequent, or labelled texts are of
     another kind than the rest, it is the nearest rate that the number of benign texts with the term allows.
@@ -256,31 +303,43 @@ def strengths(bad: list[str], good: list[str], df: np.ndarray, texts: int) -> np
     expected = len(bad) * usual
     lift = (n_bad + 0.25) / (expected + 0.25)
     no_chance = (usual <= COMMON) | (n_bad - expected > SURE * np.sqrt(expected))
-    return np.where((lift > LIFT) & no_chance, np.log(lift), 0.0)
+    return np.where((lift > LIFT) & no_chance, np.log(lift), 0.0), np.where(n_bad >= SEEN, n_bad / np.maximum(expected, 1e-9), 0.0)
 
 
 def fit(labelled: list[tuple[int, str, int]], df: np.ndarray, texts: int) -> Model:
     """The model of labelled (doc_id, text, label) rows, no text twice, and of frequencies over ``texts`` texts."""
     labelled = sorted((r for r in labelled if r[1]), key=lambda r: r[0])
     idf = np.log((1 + texts) / (1 + df)) + 1
-    strength = strengths([r[1] for r in labelled if r[2]], [r[1] for r in labelled if not r[2]], df, texts)
-    vectors, labels, source, sizes = [], [], [], []
+    strength, rate = strengths([r[1] for r in labelled if r[2]], [r[1] for r in labelled if not r[2]], df, texts)
+    found = []  # vector, label, document, kind (0 whole text, 1 short, else long), typical terms, highest rate of one
     for doc, text, label in labelled:
         term, owner, wide = terms([text])
-        for b, e in stretches(term, owner, wide, strength):
-            vectors.append(_vector(term[b:e], idf))
-            labels.append(bool(label))
-            source.append(doc)
-            sizes.append(int((strength[np.maximum(term[b:e], 0)] > 0).sum()) * (WIDE if wide[b] else 1))
-    # Of a document that was marked by mistake the stretches are like no other's, and short.
-    index, query, keep = BlockMaxIndex([v for v, y in zip(vectors, labels, strict=True) if y]), np.zeros(TERMS), []
-    own = [d for d, y in zip(source, labels, strict=True) if y]
-    for i, (v, y) in enumerate(zip(vectors, labels, strict=True)):
-        alike = not y or sizes[i] >= ALONE or any(own[j] != source[i] for _, j in index.nearest(v, NEIGHBOURS, SUPPORT, query))
+        said = sentences([text])[0]
+        if len(said) == 1 and (term >= 0).any():
+            found.append((_vector(term, idf), bool(label), doc, 0, 0, 0.0))
+        for b, e, is_long in stretches(term, owner, wide, strength):
+            t = np.maximum(term[b:e], 0)
+            typical = strength[t] > 0
+            found.append((_vector(term[b:e], idf), bool(label), doc, 1 + is_long, int(typical.sum()) * (WIDE if wide[b] else 1), float((rate[t] * typical).max())))
+    # Of a document that was marked by mistake the stretches are like no other's, and short. A text of one
+    # sentence is what its mark is about.
+    bad = [x for x in found if x[1]]
+    index, query, keep = BlockMaxIndex([x[0] for x in bad]), np.zeros(TERMS), []
+    usual = [x[5] for x in bad if x[3] == 2 and x[5]]
+    pure = PURE * float(np.median(usual)) if usual else 1e-9
+    for x in found:
+        alike = not x[1] or x[3] == 0 or (x[3] == 2 and x[4] >= ALONE)
+        if not alike and (x[3] == 2 or x[5] >= pure):
+            alike = any(bad[j][2] != x[2] for _, j in index.nearest(x[0], len(bad) if x[3] == 1 else NEIGHBOURS, SUPPORT if x[3] == 2 else CLOSE, query))
         if alike:
-            keep.append(i)
-    vectors, labels, source = ([x[i] for i in keep] for x in (vectors, labels, source))
-    return Model(strength, idf, BlockMaxIndex(vectors), np.array(labels, bool), np.array(source, np.int64))
+            keep.append(x[:3])
+    most = largest([v for v, y, _ in keep if y])
+    done = {x[2] for x in found if x[3] != 1}
+    for doc, text, label in labelled:  # benign sentences that are near to abuse, of documents that have no vote yet
+        if not label and doc not in done:
+            keep += [(_vector(t, idf), False, doc) for _, t in near_sentences(sentences([text])[0], idf, most, LEAST_COSINE)]
+    vectors, labels, source = zip(*keep, strict=True) if keep else ((), (), ())
+    return Model(strength, idf, BlockMaxIndex(list(vectors)), np.array(labels, bool), np.array(source, np.int64), most)
 
 
 def majority(labels: DataFrame) -> DataFrame:

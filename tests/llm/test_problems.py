@@ -433,6 +433,19 @@ def test_abuse_with_many_copies(spark, number):
     assert {i for i, s in got.items() if s >= abuse.CASE} == set(range(800, 1200))
 
 
+def test_short_abuse(spark):
+    # insults of few letters: a whole text, a sentence, within a sentence
+    rng = random.Random(5)
+    plain = [f"the {rng.choice(['pump', 'valve', 'filter'])} moves from {rng.randint(1, 999)} to {rng.randint(1, 999)} within {i} days" for i in range(2400)]
+    for i in range(0, 2400, 40):
+        plain[i] = ["du Idiot", f"{plain[i]}. du Idiot! {plain[i + 1]}", f"{plain[i]} 你个傻逼 {plain[i + 1]}"][i // 40 % 3]
+    docs = [(i, "a", t) for i, t in enumerate(plain)]
+    d = frame(spark, docs, "doc_id bigint, source string, text string")
+    lab = frame(spark, [(i, "x", int(i % 40 == 0)) for i in range(0, 1200, 8)], "doc_id bigint, annotator string, toxic int")
+    got = {r.doc_id: r.score for r in abuse.scored(d, abuse.fitted(d, lab)).collect()}
+    assert {i for i, s in got.items() if s >= abuse.CASE} == set(range(0, 2400, 40))
+
+
 def test_vocabulary_files_are_not_in_the_repository():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     names = {f for _, _, files in os.walk(root) for f in files}
