@@ -2,7 +2,8 @@
 
 Method: a vocabulary is counted over all records that are not scanned. A Levenshtein automaton of each unknown
 word of a scanned page, kept as bit vectors of its states, is run over the vocabulary's trie, which yields every
-word within the distance; candidates are ranked by confusable shapes, distance and frequency. In scripts
+word within the distance; candidates are ranked by how often they stand beside the neighbouring words, by
+confusable shapes, distance and frequency. In scripts
 without blanks the vocabulary is one of character pairs, and a misread character is one whose pairs are
 unknown while another fits between its neighbours. Then page furniture (running titles, page numbers) is
 removed, cut words are joined and the lines are reflowed into paragraphs.
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 LEAST_SHARE = 5e-7
 #: Forms of tokens with digits below this share of all such tokens are not those of codes or models.
 FORM_SHARE = 5e-4
+#: What an edit that no confusion explains costs, in powers of e of the counts of neighbouring words.
+EDIT_COST = 3.0
 #: Marks with which a word can be cut at the end of a line. Fixed values.
 CUT_MARKS = "-\u00ad\u2010\u2011\u00ac"
 #: Longest line of a scanned page, in characters.
@@ -162,6 +165,7 @@ class Vocabulary:
     models: dict[str, set[str]] = field(default_factory=dict)  # by form, of forms whose tokens are few and frequent
     trie: dict = field(default_factory=dict)
     by_right: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    follows: dict[str, int] = field(default_factory=dict)  # "word next"
     memo: dict = field(default_factory=dict)
     memo_pair: dict = field(default_factory=dict)
 
@@ -212,19 +216,29 @@ class Vocabulary:
                     stack.append((child, prefix + c, tuple(new)))
         return found
 
-    def correction(self, word: str) -> str | None:
-        """The most likely intended word of an unknown one, or None if no candidate is close enough."""
-        low = word.lower()
-        if low not in self.memo:
-            self.memo[low] = None
-            if len(low) >= 3 and len(low) <= 40:
-                found = self.within(low, 1)
-                if not found and len(low) >= 5:
-                    found = [x for x in self.within(low, 2) if _one_confusion(low, x[0])]
-                found = [x for x in found if x[1] and (len(low) > 3 or x[2] >= 20)]
-                if found:
-                    self.memo[low] = min(found, key=lambda x: (not _one_confusion(low, x[0]), x[1], -x[2], x[0]))[0]
-        return self.memo[low]
+    def candidates(self, word: str) -> list[tuple[str, float, int]]:
+        """(candidate, cost, count) of the words that an unknown one may be a misreading of: all within one edit,
+        and those within two that one confusion explains."""
+        if word not in self.memo:
+            found = []
+            if 3 <= len(word) <= 40:
+                for w, distance, n in self.within(word, 2 if len(word) >= 5 else 1):
+                    confused = distance and _one_confusion(word, w)
+                    if confused or distance == 1:
+                        found.append((w, 0 if confused else EDIT_COST, n))
+                found = [x for x in found if len(word) > 3 or x[2] >= 20]
+            self.memo[word] = found
+        return self.memo[word]
+
+    def correction(self, word: str, left: str = "", right: str = "") -> str | None:
+        """The most likely intended word of an unknown one between two others, or None if no candidate is close enough."""
+
+        def rank(x: tuple[str, float, int]) -> tuple:
+            beside = self.follows.get(f"{left} {x[0]}", 0), self.follows.get(f"{x[0]} {right}", 0)
+            return x[1] - sum(np.log1p(beside)), x[1], -x[2], x[0]
+
+        found = self.candidates(word.lower())
+        return min(found, key=rank)[0] if found else None
 
     def no_model(self, token: str) -> bool:
         """Whether a token has the form of models but is none of them."""
@@ -372,8 +386,7 @@ class Page:
 
     def _words(self) -> None:
         voc = self.voc
-        for i, raw in self._unseen():
-            token = raw
+        for i, token, left, right in self._unseen():
             if any(c.isdigit() for c in token):
                 core = "".join(c for c in token if c in voc.characters or c.isalnum())
                 for t in _CODE.findall(core):
@@ -392,11 +405,13 @@ class Page:
                 if clean != token.strip("-'\u2019") and token.lower() not in voc.words and clean.lower() not in voc.words:
                     self.glyph[i].append((token, clean))
                 continue
-            if "-" in clean and (fixed := voc.correction(clean)):
+            if "-" in clean and (fixed := voc.correction(clean, left, right)):
                 self.glyph[i].append((clean, fixed))
                 continue
-            for p in clean.split("-"):
-                if len(p) >= 3 and p.lower() not in voc.words and (fixed := voc.correction(p)):
+            parts = clean.split("-")
+            for p in parts:
+                beside = (left, right) if len(parts) == 1 else ()
+                if len(p) >= 3 and p.lower() not in voc.words and (fixed := voc.correction(p, *beside)):
                     self.glyph[i].append((p, fixed))
 
     def _digits(self, token: str) -> str:
@@ -405,20 +420,28 @@ class Page:
         read = head + tail.translate(_AS_DIGITS)
         return read if read.replace(".", "").isdigit() or form(read) in self.voc.forms else ""
 
-    def _unseen(self) -> Iterator[tuple[int, str]]:
-        for i, token, own in self._tokens():
+    def _unseen(self) -> Iterator[tuple[int, str, str, str]]:
+        """(line, unknown token, word before, word after)"""
+        tokens = list(self._tokens())
+        words = [_WORD.findall(t.lower()) for _, t, _ in tokens]
+        after, right = [""] * len(tokens), ""
+        for k in range(len(tokens) - 1, -1, -1):
+            after[k], right = right, words[k][0] if words[k] else right
+        left = last = ""
+        for (i, token, own), found, right in zip(tokens, words, after, strict=True):
+            left, last = last, found[-1] if found else last
             core = token.strip(".,;:!?()[]\"'\u201c\u201d\u201e\u00bb\u00ab\u3002\uff0c\uff1b\uff1a\uff08\uff09")
             if not core or core.lower() in self.voc.words:
                 continue
             if len(own) > 1:  # which part is misread: the one without which the rest would be known
                 head_len = len(self.lines[own[0]].rstrip().split()[-1]) - 1 if not self.wide else 0
-                fixed = self.voc.correction(core) if not any(c.isdigit() for c in core) else None
+                fixed = self.voc.correction(core, left, right) if not any(c.isdigit() for c in core) else None
                 low = core.lower()
                 if fixed:
                     same = 0
                     while same < min(len(low), len(fixed)) and low[same] == fixed[same]:
                         same += 1
-                    yield (own[1] if same >= head_len and not self.wide else own[0]), core
+                    yield (own[1] if same >= head_len and not self.wide else own[0]), core, left, right
                     continue
                 if not self.wide:
                     continue
@@ -426,7 +449,7 @@ class Page:
                 read = core[: -len(tail)] + tail.translate(_AS_DIGITS)
                 if core.endswith(tail) and read != core and form(read) in self.voc.forms:
                     i = own[-1]
-            yield i, core
+            yield i, core, left, right
 
     def _wide_characters(self) -> None:
         text, where = [], []
@@ -530,15 +553,18 @@ def is_scanned(text: str, page: int | None) -> bool:
 
 
 def vocabulary_counts(rows: DataFrame) -> DataFrame:
-    """(kind, entry, n): words, forms, models, characters and pairs of characters of the records that are not scanned."""
+    """(kind, entry, n): words, forms, models, characters, pairs of characters and of words of the records that are not scanned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, forms, models, chars, pairs = Counter(), Counter(), Counter(), Counter(), Counter()
+        words, forms, models, chars, pairs, follows = (Counter() for _ in range(6))
         for batch in batches:
             texts = [t for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if not is_scanned(t, p)]
             for first in range(0, len(texts), 200):
                 joined = "\n".join(texts[first : first + 200])
-                words.update(_WORD.findall(joined.lower()))
+                for line in joined.lower().split("\n"):
+                    found = _WORD.findall(line)
+                    words.update(found)
+                    follows.update(f"{a} {b}" for a, b in zip(found, found[1:], strict=False) if not (is_wide(a[0]) or is_wide(b[0]) or len(a) + len(b) > 80))
                 codes = [t for t in _CODE.findall(_one_form(joined)) if len(t) <= 40 and not t.isdigit() and not t.isalpha()]
                 forms.update(map(form, codes))
                 models.update(t for t in codes if len(t) <= 8 and t.isalnum())
@@ -549,7 +575,7 @@ def vocabulary_counts(rows: DataFrame) -> DataFrame:
                 odd = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
                 c, n = np.unique(odd, return_counts=True)
                 chars.update(dict(zip(map(chr, c.tolist()), n.tolist(), strict=True)))
-        for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0]) and len(w) <= 40}), ("form", forms), ("model", models), ("char", chars), ("pair", pairs)):
+        for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0]) and len(w) <= 40}), ("form", forms), ("model", models), ("char", chars), ("pair", pairs), ("follow", follows)):
             entry = [str(k) for k in counts]
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(entry), pa.string()), pa.array(entry, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "entry", "n"])
 
@@ -562,12 +588,12 @@ def vocabulary(rows: DataFrame) -> Vocabulary:
     totals = counts.groupBy("kind").agg(F.sum("n").alias("total"))
     is_form = F.col("kind") == "form"
     least = F.greatest(F.when(is_form, 3).otherwise(2), F.ceil(F.col("total") * F.when(is_form, FORM_SHARE).otherwise(LEAST_SHARE)))
-    kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= least).select("kind", "entry", "n").toPandas()  # four totals; at most 1 / LEAST_SHARE entries of a kind
+    kept = counts.join(F.broadcast(totals), "kind").filter(F.col("n") >= least).select("kind", "entry", "n").toPandas()  # six totals; at most 1 / LEAST_SHARE entries of a kind
     by = {k: dict(zip(g.entry, g.n, strict=True)) for k, g in kept.groupby("kind")}
     pairs, forms = by.get("pair", {}), set(by.get("form", {}))
     keys = np.array([int(k) for k in pairs], np.int64)
     order = np.argsort(keys)
-    return Vocabulary(by.get("word", {}), forms, set(by.get("char", {})), keys[order], np.array(list(pairs.values()), np.int64)[order], closed(by.get("model", {}), forms))
+    return Vocabulary(by.get("word", {}), forms, set(by.get("char", {})), keys[order], np.array(list(pairs.values()), np.int64)[order], closed(by.get("model", {}), forms), follows=by.get("follow", {}))
 
 
 def closed(tokens: dict[str, int], forms: set[str], repeats: int = 10, rare: float = 0.01) -> dict[str, set[str]]:

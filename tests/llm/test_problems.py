@@ -254,6 +254,15 @@ def test_page_records(spark):
     assert pages.noise(rows.limit(0), pages.vocabulary(rows.limit(0))).count() == 0
 
 
+def test_misread_words_are_ranked_with_their_neighbours(spark):
+    clean = "do not change the filter\nthe charge is low\nopen the door now\nthe floor is wet\nmit einem Tuch\neinen Filter\nthe brown cat sat\na car was here\n" * 30
+    data = [("p", "clean", clean, None, 0)]
+    rows = frame(spark, data, "record_table string, record_id string, text string, file string, page int")
+    voc = pages.vocabulary(rows).prepare()
+    page = pages.Page("do not charige the filter\nopen the cloor now\nmit einern Tuch\nthe brown cax sat\na cax was here", [], voc)
+    assert page.repaired() == "do not change the filter open the door now mit einem Tuch the brown cat sat a car was here"
+
+
 # --- problem 4
 
 
