@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that are screened.
+#: Characters of a text that are screened unless told otherwise.
 SCREENED = 20_000
 # Terms that block a text.
 TERMS = ("制毒", "贩毒", "枪支买卖", "爆炸物制作")
@@ -35,14 +35,14 @@ GREETING = "(?i)^(你好|您好|哈喽|嗨|hello|hi|hey|早上好|中午好|下
 THANKS = "(?i)^(谢谢|感谢|辛苦了|再见|拜拜|晚安|好的|好滴|知道了|明白了|收到|没问题|可以了|哈哈|嘿嘿|嗯|ok|okay)+$"
 
 
-def verdict(text: Column, stage: str, enabled: bool = True) -> Column:
+def verdict(text: Column, stage: str, enabled: bool = True, screened: int | None = SCREENED) -> Column:
     """Category for which a text is refused, null if it is allowed (null, empty, or screening is off).
 
-    Planted instructions matter in documents only.
+    The first ``screened`` characters are looked at, the whole text if None. Planted instructions matter in documents only.
     """
     if not enabled:
         return F.lit(None).cast("string")
-    probe = F.substring(text, 1, SCREENED)
+    probe = text if screened is None else F.substring(text, 1, screened)
     blocked = F.lit(False)
     for t in TERMS:
         blocked = blocked | probe.contains(t)
@@ -57,7 +57,7 @@ def verdict(text: Column, stage: str, enabled: bool = True) -> Column:
 
 def first_refusals(parts: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
     """(doc, first, category): documents with a refused part, and the first of them."""
-    bad = parts.withColumn("category", verdict(F.col(text), "document")).filter("category is not null")
+    bad = parts.withColumn("category", verdict(F.col(text), "document", screened=None)).filter("category is not null")
     return bad.groupBy(doc).agg(F.min(order).alias("first"), F.min_by("category", order).alias("category"))
 
 

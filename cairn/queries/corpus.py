@@ -132,7 +132,7 @@ def pii_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moderation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", screening.verdict(F.col("text"), "document").alias("category"))
+    d = table(spark, sf_dir, "documents").select("doc_id", screening.verdict(F.col("text"), "document", screened=None).alias("category"))
     return d.groupBy("category").agg(F.count("*").alias("documents"))
 
 
