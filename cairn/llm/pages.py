@@ -222,10 +222,10 @@ class Vocabulary:
         if word not in self.memo:
             found = []
             if 3 <= len(word) <= 40:
-                for w, distance, n in self.within(word, 2 if len(word) >= 5 else 1):
-                    confused = distance and _one_confusion(word, w)
-                    if confused or distance == 1:
-                        found.append((w, 0 if confused else EDIT_COST, n))
+                found = [(w, 0 if _one_confusion(word, w) else EDIT_COST, n) for w, distance, n in self.within(word, 1) if distance]
+                if len(word) >= 5:
+                    have = {x[0] for x in found} | {word}
+                    found += [(w, 0, self.words[w]) for w in _confused(word) - have if w in self.words]
                 found = [x for x in found if len(word) > 3 or x[2] >= 20]
             self.memo[word] = found
         return self.memo[word]
@@ -273,6 +273,18 @@ class Vocabulary:
 CONFUSIONS = (("rn", "m"), ("cl", "d"), ("ri", "n"), ("li", "h"), ("vv", "w"), ("ii", "u"), ("in", "m"), ("l", "i"), ("l", "1"), ("o", "0"), ("s", "5"), ("b", "8"), ("e", "c"), ("t", "f"), ("h", "b"), ("q", "g"), ("ni", "m"), ("ci", "d"), ("i", "1"), ("u", "v"), ("a", "o"), ("z", "2"), ("g", "9"), ("ii", "\u00fc"), ("a:", "\u00e4"), ("o:", "\u00f6"), ("u:", "\u00fc"))
 
 
+def _confused(seen: str) -> set[str]:
+    """All spellings that differ from one by one confusion at one place; they are within two edits."""
+    out = set()
+    for pair in CONFUSIONS:
+        for a, b in (pair, pair[::-1]):
+            i = seen.find(a)
+            while i >= 0:
+                out.add(seen[:i] + b + seen[i + len(a) :])
+                i = seen.find(a, i + 1)
+    return out
+
+
 def _one_confusion(seen: str, meant: str) -> bool:
     """Whether the two differ by one confusion at one place."""
     i = 0
