@@ -1,26 +1,34 @@
 """Abusive, hateful or sexual content (problem 8).
 
 Method: nearest labelled examples by exact TF-IDF cosine over block-max inverted indexes; votes weighted by
-closeness give a score and its evidence. Texts are folded first (case, compatibility forms, look-alikes,
-digits inside words, everything but letters dropped), so that common disguises do not matter. Terms are
-letter runs, two letters of scripts without small letters and five of others, hashed to ``TERMS`` slots.
-
-Windows of a text are compared with those of labelled texts: stretches, which are maximal runs of terms typical
-of labelled abuse, of any length, and every sentence. A window that cannot have an example of abuse close by is
-told from the largest weight of each term in such examples. Short windows must be closer than long ones, as one
-term that they share makes up much of them. Document frequencies are counted over all different texts, so that copies make no term
-common, and labels likewise. A term is typical if its rate in labelled abuse is well above its usual one, that
-of all texts within what the benign labels allow; frequent terms need more evidence, but none is too frequent.
-The fit takes at most ``MAX_LABELLED`` labelled texts of each class (smallest hashes of their ids); everything
-that is sent to the tasks has that bound or ``TERMS`` slots.
+closeness give a calibrated score and its evidence. Texts are folded first (case, compatibility forms,
+look-alikes, digits inside words, everything but letters dropped), so that common disguises do not matter, and
+cut into windows at punctuation and line ends; long windows are cut further, with overlaps. Terms are letter
+runs within a window, two letters of scripts without small letters and five of others, hashed to ``TERMS``
+slots; a shorter window is one term.
+
+Every window of every labelled text, abusive and benign, is an example in the index. The label belongs to the
+whole text, though: which windows of an abusive text are the abusive ones is told by editing. A window stays an
+example of abuse if its neighbours in other labelled texts agree, and if its terms are more usual in abusive texts
+than anywhere; the other windows of abusive texts vote as benign. Every window of every document is then compared
+with the examples: one that by the largest weights of its terms cannot reach the least cosine to any example of
+abuse has no such neighbour, so leaving it out changes no score. A document's vote is that of its worst window.
+
+Votes become probabilities by a logistic curve fitted to votes on held-out labels: the labelled texts are dealt
+into ``FOLDS`` parts, and each part is scored by examples edited and counted without it. ``reliability`` reports
+those held-out scores against the labels.
+
+Frequencies are counted per window over all different texts, so that neither the length of texts nor copies
+change how common a term is. The fit takes at most ``MAX_LABELLED`` labelled texts of each class and about
+``MAX_WINDOWS`` windows of each (smallest hashes); all that is sent to the tasks has these bounds or ``TERMS`` slots.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -29,35 +37,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm.lookalikes import CYRILLIC_ALIKE, CYRILLIC_LATIN, GREEK_ALIKE, GREEK_LATIN
+from cairn.runtime import settle
 
 #: Slots of the hashed term space.
 TERMS = 1 << 19
-#: Labelled documents of either class that the fit may take.
-MAX_LABELLED = 4000
-#: Neighbours that vote, the least cosine of one that counts, and the score from which a text is a case.
-NEIGHBOURS, LEAST_COSINE, CASE = 7, 0.3, 0.5
-#: Number of typical terms from which a stretch is long, and their least share of its letters.
-FEWEST, DENSITY = 10, 0.5
-#: Least cosine that counts for short stretches and sentences.
-CLOSE = 0.6
-#: A short example of abuse has a term that so many labelled texts of abuse hold, at a rate of at least this part
-#: of the rate usual in long ones: two or three texts share a rare term by chance.
-SEEN, PURE = 4, 0.5
-#: A letter of scripts without small letters counts as so many.
-WIDE = 2
-#: A labelled example of abuse that is like none of another document (cosine) must have so many terms.
-ALONE, SUPPORT = 16, 0.2
-#: A typical term's rate in abuse is so many times the usual one.
-LIFT = 3
-#: Terms of more than this usual rate are typical only if they are so many deviations above it.
-COMMON, SURE = 0.005, 5
-#: Deviations that the number of benign texts with a term allows for their rate.
-SPREAD = 3
+#: Labelled texts of either class, and windows of them, that the fit may take.
+MAX_LABELLED, MAX_WINDOWS = 4000, 250_000
+#: Neighbours of either class that vote, the least cosine of one that counts, and the score from which a text is a case.
+NEIGHBOURS, LEAST_COSINE, CASE = 15, 0.35, 0.5
+#: Weight of a benign vote that every window has.
+PRIOR = 0.1
+#: Texts without a label speak for benign with so many times the weight that makes their windows as many as abusive ones.
+SUSPECT = 10
+#: An example of abuse has at least this share of neighbours and of its own terms on its side; of terms more if it has
+#: no abusive neighbour in another text.
+AGREE, TYPICAL, TYPICAL_ALONE = 0.25, 0.5, 0.54
+#: What tells of a window: 1, its vote, the weight of its abusive neighbours (logarithm), the cosine of the nearest, the
+#: length of its own vector (logarithm), how typical the nearest is; with the coefficients where labels tell nothing else.
+USUAL_CURVE = (-9.0, 6.0, 0.5, 2.0, 0.5, 4.0)
+#: How firmly the coefficients stay near those.
+STIFF = 0.5
+#: How often the worst windows of abusive texts are chosen anew.
+ROUNDS = 5
+#: Share of benign marks that may be wrong: so many texts marked benign, the worst ones, do not count for the curve.
+WRONG = 0.005
+#: Parts of the labelled texts for held-out scores.
+FOLDS = 4
+#: Letters of half a long window.
+HALF = 64
 #: Examples of a block of the index.
 BLOCK = 32
 # Digits and signs that stand for letters inside words.
 LEET, LEET_LETTERS = "013457@$", "oieastas"
-_SENTENCES = re.compile(r"[\n.!?;:,|\u3002\uff01\uff1f\uff1b\uff1a\uff0c\u3001]+(?=[\s\W]|$|[\u2e80-\U0003ffff])")
+# Marks that end a window anywhere, unless a digit follows, and only before a blank or a line's end.
+_ENDS, _ENDS_NO_DIGIT, _ENDS_BLANK = "\n\r|。！？；：，、…!?;", ",:", "."
 
 
 @lru_cache(maxsize=1)
@@ -78,39 +91,84 @@ def _latin(c: np.ndarray) -> np.ndarray:
     return ((c >= 97) & (c <= 122)) | ((c >= 0xDF) & (c <= 0x24F))
 
 
-def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(term, owner, wide) at every letter of all texts; the term of a letter is the run that begins there.
+def _isin(raw: np.ndarray, marks: str) -> np.ndarray:
+    out = np.zeros(len(raw), bool)
+    for m in marks:
+        out |= raw == ord(m)
+    return out
 
-    ``wide`` tells letters of scripts without small letters, whose runs are shorter. Letters too near the
-    end of their text to begin a run have term -1.
+
+def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(folded letter, text, window) of all letters; windows are numbered over all texts.
+
+    A window of a single letter goes with its single neighbours, or else with the window before it. Less than five
+    Latin letters beside digits are a code and left out.
     """
-    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    raw = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    owner = np.repeat(np.arange(len(texts)), sizes)
     c = _fold_table()[raw]
     latin = _latin(c)
     for sign, letter in zip(LEET, LEET_LETTERS, strict=True):
         at = np.flatnonzero(raw == ord(sign))
         at = at[(at > 0) & (at < len(raw) - 1)]
         at = at[latin[at - 1] & latin[at + 1]]
-        if len(at):
-            c = c.copy() if not c.flags.writeable else c
-            c[at] = ord(letter)
+        c[at] = ord(letter)
+    after = np.r_[raw[1:], 10]
+    blank = (after <= 32) | (after == 0xA0) | (after == 0x3000)
+    ends = _isin(raw, _ENDS) | (_isin(raw, _ENDS_NO_DIGIT) & ~((after >= 48) & (after <= 57))) | (_isin(raw, _ENDS_BLANK) & blank)
+    window = np.cumsum(ends)
     keep = c > 0
-    c, owner = c[keep].astype(np.uint64), owner[keep]
-    wide = c >= 0x2E80
+    coded = np.bincount(window, (raw >= 48) & (raw <= 57) & ~keep) > 0
+    few = np.bincount(window, np.where(c >= 0x2E80, 5, keep)) < 5
+    keep &= ~(coded & few)[window]
+    c, owner, window = c[keep], owner[keep], window[keep]
+    if not len(c):
+        return c, owner, window
+    first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+    size, of = np.diff(np.r_[first, len(c)]), owner[first]
+    single = size == 1
+    same = np.r_[False, of[1:] == of[:-1]]
+    follows = np.r_[single[1:] & same[1:], False]
+    goes = single & same & ~(~np.r_[False, single[:-1]] & follows)  # all but those that begin a run of single letters
+    window = np.repeat(np.cumsum(~goes), size)
+    first = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+    size = np.diff(np.r_[first, len(c)])
+    if (size > 2 * HALF).any():
+        half = (np.arange(len(c)) - np.repeat(first, size)) // HALF
+        most = np.repeat(np.maximum(0, np.where(size > 2 * HALF, -(-size // HALF) - 2, 0)), size)
+        base = np.repeat(np.r_[0, np.cumsum(most[first] + 1)[:-1]], size)
+        a, b = base + np.minimum(half, most), base + np.maximum(0, np.minimum(half - 1, most))
+        twice = np.flatnonzero((a != b) & (most > 0))
+        window = np.r_[np.where(most > 0, a, base), b[twice]]
+        c, owner = np.r_[c, c[twice]], np.r_[owner, owner[twice]]
+        order = np.argsort(window, kind="stable")
+        c, owner, window = c[order], owner[order], window[order]
+        window = np.cumsum(np.r_[True, window[1:] != window[:-1]])
+    return c, owner, window - window[0]
+
+
+def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(window, term, count) of the terms of every window, sorted, and the text of each window."""
+    c, owner, window = letters(texts)
     n = len(c)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    text = owner[np.r_[True, window[1:] != window[:-1]]]
+    size = np.bincount(window)
+    pad, own = np.r_[c.astype(np.uint64), np.zeros(4, np.uint64)], np.r_[window, np.full(4, -1)]
+    at = [np.where(own[k : n + k] == window, pad[k : n + k], np.uint64(0)) for k in range(5)]
     mult = np.uint64(0x9E3779B97F4A7C15)
-    pad = np.r_[c, np.zeros(4, np.uint64)]
-    own = np.r_[owner, np.full(4, -1)]
-    h2 = pad[:n] * mult + pad[1 : n + 1]
-    h5 = ((h2 * mult + pad[2 : n + 2]) * mult + pad[3 : n + 3]) * mult + pad[4 : n + 4]
-    any_wide = wide | np.r_[wide, False][1 : n + 1]
-    h = np.where(any_wide, h2, h5)
+    wide = (at[0] >= 0x2E80) | (at[1] >= 0x2E80)
+    h2 = at[0] * mult + at[1]
+    h = np.where(wide, h2, ((h2 * mult + at[2]) * mult + at[3]) * mult + at[4])
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     term = ((h >> np.uint64(40)) % np.uint64(TERMS)).astype(np.int64)
-    fits = np.where(any_wide, own[1 : n + 1], own[4 : n + 4]) == owner
-    term[~fits] = -1
-    return term, owner, wide
+    begins = np.r_[True, window[1:] != window[:-1]]
+    fits = np.where(wide, at[1] > 0, at[4] > 0) | (begins & ~wide & (size[window] < 5))
+    key, count = np.unique(window[fits] * TERMS + term[fits], return_counts=True)
+    return key // TERMS, key % TERMS, count, text
 
 
 def _parts(texts: list[str], size: int = 200_000) -> Iterator[tuple[int, list[str]]]:
@@ -124,222 +182,279 @@ def _parts(texts: list[str], size: int = 200_000) -> Iterator[tuple[int, list[st
         yield first, texts[first:]
 
 
-def _frequencies(texts: list[str]) -> np.ndarray:
-    """In how many of the texts each term slot occurs."""
-    total = np.zeros(TERMS, np.int64)
-    for _, part in _parts(texts):
-        term, owner, _ = terms(part)
-        key = np.unique((owner * TERMS + term)[term >= 0])
-        total += np.bincount(key % TERMS, minlength=TERMS)
-    return total
-
-
-def document_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(term int, df bigint): in how many different texts each term slot occurs; term -1 counts the texts."""
+def window_frequencies(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(term int, df bigint): in how many windows of different texts each term slot occurs; term -1 counts the windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, texts = np.zeros(TERMS, np.int64), 0
+        total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for _, part in _parts(batch.column(0).to_pylist()):
-                total += _frequencies(part)
-                texts += len(part)
+                _, term, _, of = windows(part)
+                total += np.bincount(term, minlength=TERMS)
+                n += len(of)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[texts, total[at]])], ["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int32()), pa.array(np.r_[n, total[at]])], ["term", "df"])
 
     return documents.select(text).filter(F.length(text) > 0).distinct().mapInArrow(run, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def sentences(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """All sentences, parts between any marks of punctuation, and the text of each."""
-    parts = [[x for x in _SENTENCES.split(t) if x and not x.isspace()] for t in texts]
-    return [x for p in parts for x in p], np.repeat(np.arange(len(texts)), [len(p) for p in parts])
+def _unit(of: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of unit length, and each window's length before."""
+    w = (1 + np.log(count)) * idf[term]
+    norm = np.maximum(np.sqrt(np.bincount(of, w * w, minlength=size)), 1e-9)
+    return w / norm[of], norm
 
 
-def stretches(term: np.ndarray, owner: np.ndarray, wide: np.ndarray, strength: np.ndarray) -> list[tuple[int, int, bool]]:
-    """(begin, end, long) of the stretches that consist mostly of typical terms, over letters.
+class BlockMaxIndex:
+    """Examples as unit TF-IDF vectors, in blocks with the largest weight of each term in the block.
 
-    Gaps of the length of a filled-in word are bridged. Typical terms are at least ``DENSITY`` of the letters;
-    a long stretch has at least ``FEWEST`` of them (half as many in scripts without small letters).
+    ``of`` numbers the example of each posting, from 0 and sorted. Examples are put in the order of their rarest
+    term, so that those of a block are alike and its largest weights are close to theirs.
     """
-    at = np.flatnonzero((term >= 0) & (strength[np.maximum(term, 0)] > 0))
-    if not len(at):
-        return []
-    gap = np.where(wide[at[1:]], 7, 16)
-    new = np.r_[True, (np.diff(at) > gap) | (owner[at[1:]] != owner[at[:-1]])]
-    begin = np.flatnonzero(new)
-    end = np.r_[begin[1:], len(at)]
-    first, last = at[begin], at[end - 1] + 1
-    count = end - begin
-    is_long = count * np.where(wide[first], WIDE, 1) >= FEWEST
-    ok = count >= DENSITY * (last - first)
-    return list(zip(first[ok].tolist(), last[ok].tolist(), is_long[ok].tolist(), strict=True))
-
 
-class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors, in blocks with the largest weight of each term in the block."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]]):
-        self.size = len(vectors)
-        self.blocks, rows = [], []
-        for first in range(0, self.size, BLOCK):
-            part = vectors[first : first + BLOCK]
-            t = np.concatenate([v[0] for v in part])
-            w = np.concatenate([v[1] for v in part])
-            who = np.repeat(np.arange(len(part)), [len(v[0]) for v in part])
-            self.blocks.append((first, len(part), t, w, who))
-            used, inverse = np.unique(t, return_inverse=True)
-            most = np.zeros(len(used))
-            np.maximum.at(most, inverse, w)
-            rows.append((used, np.full(len(used), len(self.blocks) - 1), most))
-        t, b, m = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        order = np.argsort(t, kind="stable")
-        t, self.block_of, self.most = t[order], b[order], m[order]
-        self.starts = np.searchsorted(t, np.arange(TERMS + 1))
-
-    def nearest(self, vector: tuple[np.ndarray, np.ndarray], k: int, least: float, query: np.ndarray) -> list[tuple[float, int]]:
+    def __init__(self, of: np.ndarray, term: np.ndarray, weight: np.ndarray):
+        self.size = int(of[-1]) + 1 if len(of) else 0
+        lead = np.zeros(self.size, np.int64)
+        if self.size:
+            order = np.lexsort((weight, of))
+            lead = term[order][np.r_[np.flatnonzero(of[1:] != of[:-1]), len(of) - 1]]
+        self.names = np.argsort(lead, kind="stable")
+        place = np.empty(self.size, np.int64)
+        place[self.names] = np.arange(self.size)
+        at = place[of]
+        order = np.argsort(at, kind="stable")
+        at, term, weight = at[order], term[order], weight[order]
+        self.begin = np.searchsorted(at, np.arange(0, self.size + BLOCK, BLOCK))
+        self.term, self.weight, self.who = term.astype(np.int32), weight.astype(np.float64), (at % BLOCK).astype(np.int32)
+        key = term * (self.size // BLOCK + 1) + at // BLOCK
+        order = np.lexsort((-weight, key))
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])[: len(key)]
+        held = order[first] if len(key) else order
+        self.block_of, self.most = (at[held] // BLOCK).astype(np.int32), weight[held]
+        self.starts = np.searchsorted(term[held], np.arange(TERMS + 1))
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, least: float, query: np.ndarray) -> list[tuple[float, int]]:
         """The k examples of highest cosine, at least ``least``. ``query`` is a zero array of TERMS slots."""
-        t, w = vector
-        n = self.starts[t + 1] - self.starts[t]
-        at = np.repeat(self.starts[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        bound = np.bincount(self.block_of[at], np.repeat(w, n) * self.most[at], minlength=len(self.blocks))
-        query[t] = w
+        if not self.size:
+            return []
+        n = self.starts[term + 1] - self.starts[term]
+        at = np.repeat(self.starts[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        bound = np.bincount(self.block_of[at], np.repeat(weight, n) * self.most[at], minlength=-(-self.size // BLOCK))
+        hopeful = np.flatnonzero(bound >= least - 1e-12)
+        query[term] = weight
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            floor = max(least, best[-1][0] if len(best) == k else 0)
+        for b in hopeful[np.argsort(-bound[hopeful], kind="stable")].tolist():
+            floor = best[-1][0] if len(best) == k else least
             if bound[b] < floor - 1e-12:
                 break  # no later block can hold a nearer example
-            first, size, bt, bw, who = self.blocks[b]
-            cos = np.bincount(who, query[bt] * bw, minlength=size)
-            best = sorted([*best, *((float(cos[i]), first + int(i)) for i in np.flatnonzero(cos >= floor))], key=lambda x: (-x[0], x[1]))[:k]
-        query[t] = 0
+            i, j = self.begin[b], self.begin[b + 1]
+            cos = np.bincount(self.who[i:j], query[self.term[i:j]] * self.weight[i:j])
+            near = np.flatnonzero(cos >= floor)
+            if len(near):
+                best = sorted([*best, *((float(cos[x]), int(self.names[b * BLOCK + x])) for x in near)], key=lambda x: (-x[0], x[1]))[:k]
+        query[term] = 0
         return best
 
 
+@dataclass
+class Examples:
+    """Different windows of labelled texts: postings, and for each window how many texts of each class and fold
+    hold it, and one abusive text that does (-1 if none)."""
+
+    of: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    bad: np.ndarray  # windows x FOLDS
+    good: np.ndarray
+    doc: np.ndarray
+    fold: np.ndarray  # of ``doc``
+
+    def begins(self) -> np.ndarray:
+        return np.searchsorted(self.of, np.arange(len(self.doc) + 1))
+
+
 @dataclass
 class Model:
-    strength: np.ndarray  # of each term: how typical of labelled abuse, 0 if not at all
     idf: np.ndarray
-    index: BlockMaxIndex
-    abusive: np.ndarray  # label of each example
-    source: np.ndarray  # document of each example
+    abuse: BlockMaxIndex
+    benign: BlockMaxIndex
+    votes: tuple[np.ndarray, np.ndarray, np.ndarray]  # texts of either class with each example of abuse, and with each benign one
+    source: np.ndarray  # document of each example of abuse
     most: np.ndarray  # largest weight of each term in an example of abuse
-
-    def vector(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _vector(term, self.idf)
+    typical: np.ndarray  # of each example of abuse
+    curve: np.ndarray = field(default_factory=lambda: np.array(USUAL_CURVE))
+    held_out: list[tuple[int, float, int]] = field(default_factory=list)  # (doc_id, score, label)
+
+    def vote(self, term: np.ndarray, weight: np.ndarray, mass: float, query: np.ndarray) -> tuple[np.ndarray | None, int]:
+        """What is known of a window by its neighbours (see ``FEATURES``), None if none is abusive, and the nearest abusive one."""
+        near = self.abuse.nearest(term, weight, NEIGHBOURS, LEAST_COSINE, query)
+        if not near:
+            return None, -1
+        bad, good, plain = self.votes
+        yes = sum(c * c * bad[i] for c, i in near)
+        no = sum(c * c * good[i] for c, i in near) + sum(c * c * plain[i] for c, i in self.benign.nearest(term, weight, NEIGHBOURS, LEAST_COSINE, query))
+        return np.array([1.0, yes / (yes + no + PRIOR), np.log(yes), near[0][0], np.log(mass), self.typical[near[0][1]]]), near[0][1]
+
+    def votes_of(self, of: np.ndarray, term: np.ndarray, count: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray, int]]:
+        """(window, features, nearest example) of every window that has a neighbour among the examples of abuse."""
+        if not len(of):
+            return
+        w, mass = _unit(of, term, count, self.idf, size)
+        bound = np.bincount(of, w * self.most[term], minlength=size)
+        begin, query = np.searchsorted(of, np.arange(size + 1)), np.zeros(TERMS)
+        for i in np.flatnonzero(bound >= LEAST_COSINE - 1e-9).tolist():
+            at = slice(begin[i], begin[i + 1])
+            x, why = self.vote(term[at], w[at], mass[i], query)
+            if x is not None:
+                yield i, x, why
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(x @ self.curve)))
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, list[int | None]]:
-        """Score of each text and the labelled document nearest to its most abusive window."""
-        scores = np.zeros(len(texts))
-        evidence: list[int | None] = [None] * len(texts)
-        query = np.zeros(TERMS)
-
-        def judge(doc: int, t: np.ndarray, least: float) -> None:
-            s, why = vote(self.index.nearest(self.vector(t), NEIGHBOURS, least, query), self.abusive)
-            if s > scores[doc]:
-                scores[doc], evidence[doc] = s, None if why is None else int(self.source[why])
-
+        """Score of each text and the labelled document nearest to its most abusive window; a text without such neighbours scores 0."""
+        scores, evidence = np.zeros(len(texts)), [None] * len(texts)
         for first, part in _parts(texts):
-            term, owner, wide = terms(part)
-            for b, e, is_long in stretches(term, owner, wide, self.strength):
-                judge(first + int(owner[b]), term[b:e], LEAST_COSINE if is_long else CLOSE)
-            said, of = sentences(part)
-            for i, t in near_sentences(said, self.idf, self.most, CLOSE):
-                judge(first + int(of[i]), t, CLOSE)
+            of, term, count, text = windows(part)
+            for i, x, why in self.votes_of(of, term, count, len(text)):
+                doc, p = first + int(text[i]), float(self.probability(x))
+                if p > scores[doc]:
+                    scores[doc], evidence[doc] = p, int(self.source[why])
         return scores, evidence
 
 
-def near_sentences(said: list[str], idf: np.ndarray, most: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
-    """(number, terms) of every sentence that may have an example of cosine ``least``; ``most`` has the largest
-    weight of each term in an example."""
-    if not said or not most.any():
-        return []
-    term, owner, _ = terms(said)
-    term, owner = term[term >= 0], owner[term >= 0]
-    hit = np.zeros(len(said), bool)
-    hit[owner[most[term] > 0]] = True
-    term, owner = term[hit[owner]], owner[hit[owner]]
-    key, n = np.unique(owner * TERMS + term, return_counts=True)
-    w, of, t = (1 + np.log(n)) * idf[key % TERMS], key // TERMS, key % TERMS
-    norm = np.sqrt(np.bincount(of, w * w, minlength=len(said)))
-    bound = np.bincount(of, w * most[t], minlength=len(said)) / np.maximum(norm, 1e-9)
-    at = np.flatnonzero(bound >= least - 1e-9)
-    begin, end = np.searchsorted(owner, at), np.searchsorted(owner, at, "right")
-    return [(i, term[b:e]) for i, b, e in zip(at.tolist(), begin.tolist(), end.tolist(), strict=True)]
-
-
-def largest(vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The largest weight of each term in any of the vectors."""
+def typical(x: Examples, df: np.ndarray, total: int, folds: list[int], weight: np.ndarray) -> np.ndarray:
+    """Of each window, how much of its weight lies on terms more usual in windows of abusive texts than anywhere."""
+    bad = x.bad[:, folds].sum(1)
+    held = np.bincount(x.term, bad[x.of], minlength=TERMS)
+    usual = np.maximum(df, 1) / max(1, total) * max(1, bad.sum())  # expected, were abusive texts like all others
+    share = held / np.maximum(held + SUSPECT * usual, 1e-9)
+    return np.bincount(x.of, weight * weight * share[x.term], minlength=len(x.doc))
+
+
+def edited(x: Examples, idf: np.ndarray, df: np.ndarray, total: int, folds: list[int]) -> Model:
+    """The model of the labelled texts of some folds."""
+    size = len(x.doc)
+    weight, _ = _unit(x.of, x.term, x.count, idf, size)
+    own = typical(x, df, total, folds, weight)
+    bad, good = x.bad[:, folds].sum(1), x.good[:, folds].sum(1)
+    begin, query = x.begins(), np.zeros(TERMS)
+    whole = _index(x, weight, np.flatnonzero(bad + good > 0))
+    keep = np.zeros(size, bool)
+    for i in np.flatnonzero((bad > 0) & (own >= TYPICAL)).tolist():
+        at = slice(begin[i], begin[i + 1])
+        yes = no = 0.0
+        for c, j in whole[0].nearest(x.term[at], weight[at], 2 * NEIGHBOURS, LEAST_COSINE, query):
+            j = whole[1][j]
+            yes += c * c * (bad[j] - (x.doc[j] == x.doc[i]))
+            no += c * c * good[j]
+        keep[i] = yes + PRIOR >= AGREE * (yes + no + 2 * PRIOR) and (yes > 0 or own[i] >= TYPICAL_ALONE)
+    kept, rest = np.flatnonzero(keep), np.flatnonzero(~keep & (bad + good > 0))
     most = np.zeros(TERMS)
-    for t, w in vectors:
-        most[t] = np.maximum(most[t], w)
-    return most
-
+    on = keep[x.of]
+    np.maximum.at(most, x.term[on], weight[on])
+    return Model(idf, _index(x, weight, kept)[0], _index(x, weight, rest)[0], (bad[kept], good[kept], (bad + good)[rest]), x.doc[kept], most, own[kept])
 
-def vote(near: list[tuple[float, int]], abusive: np.ndarray) -> tuple[float, int | None]:
-    """Share of abusive neighbours, weighted by squared cosine against a benign prior, and the nearest of them."""
-    yes = [(c, i) for c, i in near if abusive[i]]
-    if not yes:
-        return 0.0, None
-    total = sum(c * c for c, _ in near)
-    return sum(c * c for c, _ in yes) / (total + 0.05), yes[0][1]
 
+def _index(x: Examples, weight: np.ndarray, which: np.ndarray) -> tuple[BlockMaxIndex, np.ndarray]:
+    number = np.full(len(x.doc), -1)
+    number[which] = np.arange(len(which))
+    on = number[x.of] >= 0
+    return BlockMaxIndex(number[x.of[on]], x.term[on], weight[on]), which
 
-def _vector(term: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t, n = np.unique(term[term >= 0], return_counts=True)
-    w = (1 + np.log(n)) * idf[t]
-    return t, w / max(1e-9, float(np.sqrt((w * w).sum())))
 
+def benign_weight(x: Examples, df: np.ndarray, total: int, model: Model) -> float:
+    """How many times more benign windows than abusive ones a labelled one stands for, abuse being over-sampled.
 
-def strengths(bad: list[str], good: list[str], df: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """How typical of abuse each term is, 0 if not at all, from labelled texts of both kinds and the frequencies
-    over all ``texts``; and how many times its usual rate it has there, 0 if it stands in less than ``SEEN``.
-
-    The usual rate is that among all texts; where abuse itself makes a term frequent, or labelled texts are of
-    another kind than the rest, it is the nearest rate that the number of benign texts with the term allows.
+    Abusive ones are as many times more in all texts as the terms of examples of abuse that several labelled texts
+    hold; benign ones as all windows.
     """
-    n_bad, n_good = _frequencies(bad), _frequencies(good)
-    spread = SPREAD * np.sqrt(n_good)
-    usual = np.clip(df / max(1, texts), (n_good - spread) / max(1, len(good)), (n_good + spread + SPREAD) / max(1, len(good)))
-    expected = len(bad) * usual
-    lift = (n_bad + 0.25) / (expected + 0.25)
-    no_chance = (usual <= COMMON) | (n_bad - expected > SURE * np.sqrt(expected))
-    return np.where((lift > LIFT) & no_chance, np.log(lift), 0.0), np.where(n_bad >= SEEN, n_bad / np.maximum(expected, 1e-9), 0.0)
-
-
-def fit(labelled: list[tuple[int, str, int]], df: np.ndarray, texts: int) -> Model:
-    """The model of labelled (doc_id, text, label) rows, no text twice, and of frequencies over ``texts`` texts."""
-    labelled = sorted((r for r in labelled if r[1]), key=lambda r: r[0])
-    idf = np.log((1 + texts) / (1 + df)) + 1
-    strength, rate = strengths([r[1] for r in labelled if r[2]], [r[1] for r in labelled if not r[2]], df, texts)
-    found = []  # vector, label, document, kind (0 whole text, 1 short, else long), typical terms, highest rate of one
-    for doc, text, label in labelled:
-        term, owner, wide = terms([text])
-        said = sentences([text])[0]
-        if len(said) == 1 and (term >= 0).any():
-            found.append((_vector(term, idf), bool(label), doc, 0, 0, 0.0))
-        for b, e, is_long in stretches(term, owner, wide, strength):
-            t = np.maximum(term[b:e], 0)
-            typical = strength[t] > 0
-            found.append((_vector(term[b:e], idf), bool(label), doc, 1 + is_long, int(typical.sum()) * (WIDE if wide[b] else 1), float((rate[t] * typical).max())))
-    # Of a document that was marked by mistake the stretches are like no other's, and short. A text of one
-    # sentence is what its mark is about.
-    bad = [x for x in found if x[1]]
-    index, query, keep = BlockMaxIndex([x[0] for x in bad]), np.zeros(TERMS), []
-    usual = [x[5] for x in bad if x[3] == 2 and x[5]]
-    pure = PURE * float(np.median(usual)) if usual else 1e-9
-    for x in found:
-        alike = not x[1] or x[3] == 0 or (x[3] == 2 and x[4] >= ALONE)
-        if not alike and (x[3] == 2 or x[5] >= pure):
-            alike = any(bad[j][2] != x[2] for _, j in index.nearest(x[0], len(bad) if x[3] == 1 else NEIGHBOURS, SUPPORT if x[3] == 2 else CLOSE, query))
-        if alike:
-            keep.append(x[:3])
-    most = largest([v for v, y, _ in keep if y])
-    done = {x[2] for x in found if x[3] != 1}
-    for doc, text, label in labelled:  # benign sentences that are near to abuse, of documents that have no vote yet
-        if not label and doc not in done:
-            keep += [(_vector(t, idf), False, doc) for _, t in near_sentences(sentences([text])[0], idf, most, LEAST_COSINE)]
-    vectors, labels, source = zip(*keep, strict=True) if keep else ((), (), ())
-    return Model(strength, idf, BlockMaxIndex(list(vectors)), np.array(labels, bool), np.array(source, np.int64), most)
+    bad, good = x.bad.sum(1), x.good.sum(1)
+    held = np.bincount(x.term, bad[x.of], minlength=TERMS)
+    at = np.flatnonzero((model.most > 0) & (held >= 2))
+    more = float(np.median(df[at] / held[at])) if len(at) else 1.0
+    return max(1.0, total / max(1.0, good.sum()) / max(1.0, more))
+
+
+def logistic(x: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of the probability of abuse, by Newton's method; with few labels they stay near ``USUAL_CURVE``."""
+    usual = np.array(USUAL_CURVE)
+    beta = usual.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + STIFF * np.eye(len(beta))
+        step = np.linalg.solve(h, x.T @ (weight * (labels - p)) - STIFF * (beta - usual))
+        beta = beta + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return beta
+
+
+def examples(rows: pa.Table) -> tuple[Examples, dict[int, int], list[tuple[np.ndarray, np.ndarray]]]:
+    """Examples of rows (doc, toxic, fold, term, count), a row per window; labels by document; and by fold the
+    (document, example) pairs of its windows."""
+    doc, toxic, fold = (rows[c].to_numpy() for c in ("doc", "toxic", "fold"))
+    terms, counts = rows["term"].combine_chunks(), rows["count"].combine_chunks()
+    first = terms.offsets.to_numpy()
+    term, count = terms.values.to_numpy(zero_copy_only=False).astype(np.int64), counts.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    known: dict[bytes, int] = {}
+    which = np.empty(len(doc), np.int64)
+    kept = []
+    for r in range(len(doc)):
+        key = term[first[r] : first[r + 1]].tobytes() + count[first[r] : first[r + 1]].tobytes()
+        which[r] = known.setdefault(key, len(known))
+        if which[r] == len(kept):
+            kept.append(r)
+    n = len(kept)
+    sizes = np.array([first[r + 1] - first[r] for r in kept], np.int64)
+    at = np.concatenate([np.arange(first[r], first[r + 1]) for r in kept]) if n else np.zeros(0, np.int64)
+    bad, good, a_doc, a_fold = np.zeros((n, FOLDS)), np.zeros((n, FOLDS)), np.full(n, -1, np.int64), np.zeros(n, np.int64)
+    once = np.unique(np.stack([which, doc, toxic, fold]), axis=1) if n else np.zeros((4, 0), np.int64)
+    np.add.at(bad, (once[0][once[2] == 1], once[3][once[2] == 1]), 1)
+    np.add.at(good, (once[0][once[2] == 0], once[3][once[2] == 0]), 1)
+    for w, d, t, f in once.T[::-1]:
+        if t == 1:
+            a_doc[w], a_fold[w] = d, f
+    x = Examples(np.repeat(np.arange(n), sizes), term[at], count[at], bad, good, a_doc, a_fold)
+    by_fold = [(once[1][once[3] == f], once[0][once[3] == f]) for f in range(FOLDS)]
+    return x, dict(zip(doc.tolist(), toxic.tolist(), strict=True)), by_fold
+
+
+def fit(rows: pa.Table, df: np.ndarray, total: int) -> Model:
+    """The model of windows of labelled texts, and of frequencies over ``total`` windows."""
+    idf = np.log((1 + total) / (1 + np.minimum(df, total))) + 1e-3
+    x, label, by_fold = examples(rows)
+    begin, docs_of, seen = x.begins(), [], []
+    for f in range(FOLDS):
+        docs, at = by_fold[f]
+        part = edited(x, idf, df, total, [g for g in range(FOLDS) if g != f])
+        used, back = np.unique(at, return_inverse=True)
+        n = begin[used + 1] - begin[used]
+        pos = np.repeat(begin[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = {i: v for i, v, _ in part.votes_of(np.repeat(np.arange(len(used)), n), x.term[pos], x.count[pos], len(used))}
+        for d, i in zip(docs.tolist(), back.tolist(), strict=True):
+            if i in found:
+                docs_of.append(d)
+                seen.append(found[i])
+    model = edited(x, idf, df, total, list(range(FOLDS)))
+    score = dict.fromkeys(label, 0.0)
+    if seen:
+        m, d = np.array(seen), np.array(docs_of)
+        y = np.array([label[k] for k in docs_of], float)
+        weight = np.where(y == 1, 1.0, benign_weight(x, df, total, model))
+        for _ in range(ROUNDS):  # of an abusive text only the worst window tells of abuse
+            p = model.probability(m)
+            order = np.lexsort((-p, d))
+            worst = np.zeros(len(d), bool)
+            worst[order[np.r_[True, d[order][1:] != d[order][:-1]]]] = True
+            doubted = order[(worst & (y == 0) & (p > 0.5))[order]]
+            doubted = doubted[np.argsort(-p[doubted], kind="stable")][: math.ceil(WRONG * len(label))]
+            used = (worst | (y == 0)) & ~np.isin(d, d[doubted])
+            model.curve = logistic(m[used], y[used], weight[used])
+        for d, p in zip(docs_of, model.probability(m).tolist(), strict=True):
+            score[d] = max(score[d], p)
+    model.held_out = [(d, score[d], y) for d, y in sorted(label.items())]
+    return model
 
 
 def majority(labels: DataFrame) -> DataFrame:
@@ -349,23 +464,47 @@ def majority(labels: DataFrame) -> DataFrame:
     return mean.select("doc_id", (F.col("m") > 0.5).cast("int").alias("toxic"))
 
 
-def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
+def labelled_windows(texts: DataFrame) -> DataFrame:
+    """(doc, toxic, fold, no, term, count): the windows of labelled texts (doc_id, text, toxic)."""
+    schema = "doc bigint, toxic int, fold int, no int, term array<int>, count array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, toxic, fold = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            for first, part in _parts(batch.column(1).to_pylist()):
+                of, term, count, text = windows(part)
+                held, n = np.unique(of, return_counts=True)
+                offsets = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+                row = first + text[held]
+                cols = [pa.array(doc[row]), pa.array(toxic[row], pa.int32()), pa.array(fold[row], pa.int32()), pa.array(held, pa.int32())]
+                cols += [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int32())) for v in (term, count)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "toxic", "fold", "no", "term", "count"])
+
+    fold = F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(FOLDS)).cast("int")
+    return texts.select("doc_id", "text", "toxic", fold.alias("fold")).mapInArrow(run, schema)
+
+
+def fitted(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_windows: int = MAX_WINDOWS) -> Model:
     """The model of all texts' frequencies and of a bounded sample of the labelled ones; copies are one text,
     labelled as most of them are."""
     marked = majority(labels).join(documents.select("doc_id", "text"), "doc_id").filter("length(text) > 0")
     marked = marked.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.avg("toxic").alias("m")).filter("m <> 0.5")
     marked = marked.select("doc_id", "text", (F.col("m") > 0.5).cast("int").alias("toxic"))
-    rows: list = []
-    for toxic in (1, 0):
-        rows += marked.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()
+    parts = [marked.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled) for t in (1, 0)]
+    found = settle(labelled_windows(parts[0].unionByName(parts[1])))
+    n = dict(found.groupBy("toxic").agg(F.count("*")).collect())  # two rows
+    if max(n.values(), default=0) > max_windows:
+        share = F.when(F.col("toxic") == 1, max_windows / n.get(1, 1)).otherwise(max_windows / n.get(0, 1))
+        found = found.filter(F.pmod(F.xxhash64("doc", "no"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = found.select("doc", "toxic", "fold", "term", "count").toArrow()  # about max_windows rows of either class
     df = np.zeros(TERMS + 1, np.int64)
-    for term, n in document_frequencies(documents).toPandas().itertuples(index=False):  # at most TERMS rows and one
-        df[term] = n
-    return fit([tuple(r) for r in rows], df[:TERMS], int(df[TERMS]))
+    for batch in window_frequencies(documents).toArrow().to_batches():  # at most TERMS rows and one
+        df[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return fit(rows, df[:TERMS], int(df[TERMS]))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, evidence): every row's score in [0, 1]; null and empty texts score 0 without evidence."""
+    """(doc_id, score, evidence): every row's score in [0, 1]; null texts and texts without letters score 0 without evidence."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,3 +520,13 @@ def rates(documents: DataFrame, scores: DataFrame, case: float = CASE) -> DataFr
     rows = documents.select("doc_id", "source").distinct().join(scores.groupBy("doc_id").agg(F.max("score").alias("score")), "doc_id")
     n, k = F.count("*"), F.sum((F.col("score") >= case).cast("bigint"))
     return rows.groupBy("source").agg(n.alias("documents"), k.alias("cases"), (k / n).alias("rate"))
+
+
+def reliability(model: Model, bins: int = 10) -> list[tuple[float, int, float, float]]:
+    """(lower bound, texts, mean score, share marked abusive) of each tenth of the held-out scores that occurs."""
+    if not model.held_out:
+        return []
+    p = np.array([h[1] for h in model.held_out])
+    y = np.array([h[2] for h in model.held_out])
+    at = np.minimum((p * bins).astype(int), bins - 1)
+    return [(b / bins, int((at == b).sum()), float(p[at == b].mean()), float(y[at == b].mean())) for b in np.unique(at).tolist()]

@@ -132,6 +132,12 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(spark, sf_dir)[1]
 
 
+def p8_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out scores of the labelled documents beside the share of them that is marked, by tenths of the score."""
+    model = abuse.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "abuse_labels"))
+    return spark.createDataFrame(abuse.reliability(model), "score_from double, documents bigint, mean_score double, marked double")  # at most ten rows
+
+
 def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rate of such documents of every source."""
     return abuse.rates(*_scores(spark, sf_dir))
@@ -154,6 +160,7 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_rates": p8_rates,
+    "p8_reliability": p8_reliability,
 }
 
 SQL = {

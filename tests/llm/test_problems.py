@@ -380,20 +380,66 @@ def test_mix_against_plain_python(spark, monkeypatch):
 
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(4)
-    vectors = []
-    for _ in range(150):
-        t = np.sort(rng.choice(400, rng.integers(3, 30), replace=False))
-        w = rng.random(len(t))
-        vectors.append((t, w / np.sqrt((w * w).sum())))
-    index, query = abuse.BlockMaxIndex(vectors), np.zeros(abuse.TERMS)
     dense = np.zeros((150, 400))
-    for i, (t, w) in enumerate(vectors):
-        dense[i, t] = w
+    for i in range(150):
+        dense[i, rng.choice(400, rng.integers(3, 30), replace=False)] = rng.random()
+        dense[i] *= rng.random(400) + 0.1
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    of, term = np.nonzero(dense)
+    index, query = abuse.BlockMaxIndex(of, term, dense[of, term]), np.zeros(abuse.TERMS)
     for q in range(0, 150, 7):
         cos = dense @ dense[q]
         want = sorted(((c, i) for i, c in enumerate(cos) if c >= 0.1), key=lambda x: (-x[0], x[1]))[:7]
-        got = index.nearest(vectors[q], 7, 0.1, query)
+        at = np.flatnonzero(dense[q])
+        got = index.nearest(at, dense[q, at], 7, 0.1, query)
         assert [i for _, i in got] == [i for _, i in want] and not query.any()
+    none = np.zeros(0, np.int64)
+    assert abuse.BlockMaxIndex(none, none, np.zeros(0)).nearest(at, dense[q, at], 7, 0.1, query) == []
+
+
+def test_windows_of_a_text():
+    def cut(text):
+        c, _, window = abuse.letters([text])
+        return ["".join(map(chr, c[window == i])) for i in range(window.max(initial=-1) + 1)]
+
+    assert cut("Go to HELL, you! 你是蠢，猪。听见没有。操,你,妈") == ["gotohell", "you", "你是蠢猪", "听见没有", "操你妈"]
+    assert cut("shut up m0r.on v1.5 | R2-77 | Ok") == ["shutupmoronv", "ok"]
+    assert cut("") == cut("12 ... \u200b") == []
+    long = "abcdefghij" * 40
+    parts = cut(long)
+    assert all(len(p) <= 3 * abuse.HALF for p in parts) and all(p in long for p in parts)
+    assert all(any(long[i : i + abuse.HALF] in p for p in parts) for i in range(0, len(long) - 2 * abuse.HALF, abuse.HALF))
+    two = abuse.windows(["one two three. four five six", "", "x", "seven eight nine"])
+    assert two[3].tolist() == [0, 0, 2, 3] and set(two[0].tolist()) <= {0, 1, 2, 3}
+
+
+def test_scores_do_not_depend_on_the_length_of_texts(spark):
+    # the same windows in texts five and twenty times as long: same examples, same finds
+    rng = random.Random(11)
+    plain = ["the pump moves from {} to {}", "please replace the filter within {} days and note {}", "把滤芯单独静置 {} 分钟后再检查 {}"]
+    rows = []
+    for i in range(3000):
+        body = [rng.choice(plain).format(rng.randint(1, 99), i) for _ in range(4)]
+        if i % 60 == 0:
+            body.insert(2, rng.choice(INSULTS).format(rng.choice(NAMES)))
+        rows.append((i, "a", "\n".join(body)))
+    lab = frame(spark, [(i, "x", int(i % 60 == 0)) for i in range(0, 1500, 5)], "doc_id bigint, annotator string, toxic int")
+    model = abuse.fitted(frame(spark, rows, "doc_id bigint, source string, text string"), lab)
+    assert model.abuse.size and model.benign.size  # both classes are in the index
+    y = np.array([h[2] for h in model.held_out])
+    p = np.array([h[1] for h in model.held_out])
+    assert (p[y == 1] >= abuse.CASE).mean() >= 0.9 and (p[y == 0] >= abuse.CASE).mean() <= 0.01
+    assert sum(r[1] for r in abuse.reliability(model)) == len(model.held_out)
+    for k in (5, 20):
+        joined = [(i, "a", "\n".join(r[2] for r in rows[i : i + k])) for i in range(0, 3000, k)]
+        d = frame(spark, joined, "doc_id bigint, source string, text string")
+        got = {r.doc_id for r in abuse.scored(d, model).filter(F.col("score") >= abuse.CASE).collect()}
+        assert got == {i for i in range(0, 3000, k) if any(j % 60 == 0 for j in range(i, i + k))}
+        df, total = np.zeros(abuse.TERMS + 1, np.int64), 0
+        for r in abuse.window_frequencies(d).collect():
+            df[r.term] = r.df
+        again = abuse.window_frequencies(frame(spark, rows, "doc_id bigint, source string, text string")).collect()
+        assert {r.term: r.df for r in again} == {t if t < abuse.TERMS else -1: int(df[t]) for t in np.flatnonzero(df)}
 
 
 INSULTS = ["you are a bunch of {} and should go to hell", "shut up you {} nobody wants to hear it", "你们客服全是{}听得懂人话吗快点滚出去", "this {} of a clerk can go and drown himself"]
