@@ -49,6 +49,8 @@ NEIGHBOURS, LEAST_COSINE, CASE = 15, 0.35, 0.5
 PRIOR = 0.1
 #: Texts without a label speak for benign with so many times the weight that makes their windows as many as abusive ones.
 SUSPECT = 10
+#: Deviations that the number of benign windows with a term allows for its rate.
+SPREAD = 3
 #: An example of abuse has at least this share of neighbours and of its own terms on its side; of terms more if it has
 #: no abusive neighbour in another text.
 AGREE, TYPICAL, TYPICAL_ALONE = 0.25, 0.5, 0.54
@@ -325,9 +327,11 @@ class Model:
 
 def typical(x: Examples, df: np.ndarray, total: int, folds: list[int], weight: np.ndarray) -> np.ndarray:
     """Of each window, how much of its weight lies on terms more usual in windows of abusive texts than anywhere."""
-    bad = x.bad[:, folds].sum(1)
-    held = np.bincount(x.term, bad[x.of], minlength=TERMS)
-    usual = np.maximum(df, 1) / max(1, total) * max(1, bad.sum())  # expected, were abusive texts like all others
+    bad, good = x.bad[:, folds].sum(1), x.good[:, folds].sum(1)
+    held, plain = (np.bincount(x.term, n[x.of], minlength=TERMS) for n in (bad, good))
+    # Where abuse itself makes a term frequent, its usual rate is the highest that the benign texts with it allow.
+    rate = np.minimum(np.maximum(df, 1) / max(1, total), (plain + SPREAD * np.sqrt(plain) + SPREAD) / max(1, good.sum()))
+    usual = rate * max(1, bad.sum())  # expected, were abusive texts like all others
     share = held / np.maximum(held + SUSPECT * usual, 1e-9)
     return np.bincount(x.of, weight * weight * share[x.term], minlength=len(x.doc))
 
