@@ -227,13 +227,13 @@ class BlockMaxIndex:
         order = np.argsort(at, kind="stable")
         at, term, weight = at[order], term[order], weight[order]
         self.begin = np.searchsorted(at, np.arange(0, self.size + BLOCK, BLOCK))
-        self.term, self.weight, self.who = term.astype(np.int32), weight.astype(np.float64), (at % BLOCK).astype(np.int32)
+        self.term, self.weight, self.who = term.astype(np.int32), weight, (at % BLOCK).astype(np.int8)
         key = term * (self.size // BLOCK + 1) + at // BLOCK
         order = np.lexsort((-weight, key))
         first = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])[: len(key)]
         held = order[first] if len(key) else order
         self.block_of, self.most = (at[held] // BLOCK).astype(np.int32), weight[held]
-        self.starts = np.searchsorted(term[held], np.arange(TERMS + 1))
+        self.starts = np.searchsorted(term[held], np.arange(TERMS + 1)).astype(np.int32)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, least: float, query: np.ndarray) -> list[tuple[float, int]]:
         """The k examples of highest cosine, at least ``least``. ``query`` is a zero array of TERMS slots."""
@@ -242,12 +242,12 @@ class BlockMaxIndex:
         n = self.starts[term + 1] - self.starts[term]
         at = np.repeat(self.starts[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         bound = np.bincount(self.block_of[at], np.repeat(weight, n) * self.most[at], minlength=-(-self.size // BLOCK))
-        hopeful = np.flatnonzero(bound >= least - 1e-12)
+        hopeful = np.flatnonzero(bound >= least - 1e-9)
         query[term] = weight
         best: list[tuple[float, int]] = []
         for b in hopeful[np.argsort(-bound[hopeful], kind="stable")].tolist():
             floor = best[-1][0] if len(best) == k else least
-            if bound[b] < floor - 1e-12:
+            if bound[b] < floor - 1e-9:
                 break  # no later block can hold a nearer example
             i, j = self.begin[b], self.begin[b + 1]
             cos = np.bincount(self.who[i:j], query[self.term[i:j]] * self.weight[i:j])
@@ -304,7 +304,7 @@ class Model:
         w, mass = _unit(of, term, count, self.idf, size)
         bound = np.bincount(of, w * self.most[term], minlength=size)
         begin, query = np.searchsorted(of, np.arange(size + 1)), np.zeros(TERMS)
-        for i in np.flatnonzero(bound >= LEAST_COSINE - 1e-9).tolist():
+        for i in np.flatnonzero(bound >= LEAST_COSINE - 1e-6).tolist():
             at = slice(begin[i], begin[i + 1])
             x, why = self.vote(term[at], w[at], mass[i], query)
             if x is not None:
@@ -354,9 +354,9 @@ def edited(x: Examples, idf: np.ndarray, df: np.ndarray, total: int, folds: list
             no += c * c * good[j]
         keep[i] = yes + PRIOR >= AGREE * (yes + no + 2 * PRIOR) and (yes > 0 or own[i] >= TYPICAL_ALONE)
     kept, rest = np.flatnonzero(keep), np.flatnonzero(~keep & (bad + good > 0))
-    most = np.zeros(TERMS)
+    most = np.zeros(TERMS, np.float32)
     on = keep[x.of]
-    np.maximum.at(most, x.term[on], weight[on])
+    np.maximum.at(most, x.term[on], weight[on].astype(np.float32))
     return Model(idf, _index(x, weight, kept)[0], _index(x, weight, rest)[0], (bad[kept], good[kept], (bad + good)[rest]), x.doc[kept], most, own[kept])
 
 
@@ -364,7 +364,7 @@ def _index(x: Examples, weight: np.ndarray, which: np.ndarray) -> tuple[BlockMax
     number = np.full(len(x.doc), -1)
     number[which] = np.arange(len(which))
     on = number[x.of] >= 0
-    return BlockMaxIndex(number[x.of[on]], x.term[on], weight[on]), which
+    return BlockMaxIndex(number[x.of[on]], x.term[on], weight[on].astype(np.float32)), which
 
 
 def benign_weight(x: Examples, df: np.ndarray, total: int, model: Model) -> float:
@@ -426,7 +426,7 @@ def examples(rows: pa.Table) -> tuple[Examples, dict[int, int], list[tuple[np.nd
 
 def fit(rows: pa.Table, df: np.ndarray, total: int) -> Model:
     """The model of windows of labelled texts, and of frequencies over ``total`` windows."""
-    idf = np.log((1 + total) / (1 + np.minimum(df, total))) + 1e-3
+    idf = (np.log((1 + total) / (1 + np.minimum(df, total))) + 1e-3).astype(np.float32)
     x, label, by_fold = examples(rows)
     begin, docs_of, seen = x.begins(), [], []
     for f in range(FOLDS):
