@@ -27,33 +27,29 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _repeated_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The blocks, and the places of their repeated lines.
-
-    The blocks are taken as two partitions: the count tables of all but the newest month are the state,
-    with which the newest month is merged as a delta.
-    """
+def _months(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The blocks with the month of their arrival told apart: all, those before the newest month, and that month's."""
     parents = table(spark, sf_dir, "parents")
     newest = parents.agg(F.max(F.date_trunc("month", "ingested_at"))).first()[0]
     is_new = F.coalesce(F.col("ingested_at") >= F.lit(newest), F.lit(False))
-    found = settle(lines.block_lines(parents, batch=is_new))
-    old, new = (lines.line_counts(found.filter(F.col("batch") == i)) for i in (0, 1))
-    counts = lines.merge(old, new, ["source", "line"], "blocks")
-    sizes = lines.merge(lines.source_sizes(parents.filter(~is_new)), lines.source_sizes(parents.filter(is_new)), ["source"], "total")
-    return parents, lines.places(found, lines.repeated(counts, sizes))
+    return parents, parents.filter(~is_new), parents.filter(is_new)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the lines that are repeated within their file."""
-    parents, at = _repeated_lines(spark, sf_dir)
-    names = parents.select("parent_id", F.xxhash64("parent_id").alias("block")).distinct()
-    return at.join(names, "block").select("parent_id", F.explode("line_nos").alias("line_no")).distinct()
+    """Places of the lines that are repeated within their file: the state of the earlier months, advanced by the newest."""
+    _, earlier, newest = _months(spark, sf_dir)
+    state = lines.advance(lines.advance(None, earlier).state, newest).state
+    return state.marked.select(F.col("block").alias("parent_id"), F.explode("line_nos").alias("line_no"))
 
 
 def p2_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every block with the repeated lines taken out."""
-    parents, at = _repeated_lines(spark, sf_dir)
-    return lines.removed(parents.select("parent_id", "doc_id", "text").dropDuplicates(["parent_id"]), at.distinct())
+    """Every block with the repeated lines taken out: the blocks of earlier months as cleaned then, and made anew only
+    where the newest month is concerned."""
+    parents, earlier, newest = _months(spark, sf_dir)
+    whole = parents.filter("parent_id is not null").select("parent_id", "doc_id", "text").dropDuplicates(["parent_id"])
+    first = lines.advance(None, earlier)
+    before = lines.removed(earlier.filter("parent_id is not null").select("parent_id", "doc_id", "text").dropDuplicates(["parent_id"]), first.state.marked)
+    return lines.rebuilt(before, whole, lines.advance(first.state, newest))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,38 +146,56 @@ def line_data():
     return data + data[:5] + [("d0", "null", None), (None, "x", "Share: Mail"), ("d0", None, "Share: Mail"), ("d9", "one", LONG), ("d9", "two", "")]
 
 
+def marks(state):
+    return {(r.block, n) for r in state.marked.collect() for n in r.line_nos}
+
+
 def test_repeated_lines_against_brute_force(spark):
     data = line_data()
-    df = frame(spark, data, "doc_id string, parent_id string, text string").withColumn("source", F.lit("clash")).withColumn("line", F.lit(0))
-    found = lines.block_lines(df)
-    at = lines.places(found, lines.repeated(lines.line_counts(found), lines.source_sizes(df)))
-    names = {r.h: r.parent_id for r in df.select("parent_id", F.xxhash64("parent_id").alias("h")).distinct().collect()}
-    got = {(names[r.block], n) for r in at.collect() for n in r.line_nos}
+    df = frame(spark, data, "doc_id string, parent_id string, text string").withColumn("source", F.lit("clash")).withColumn("line", F.lit(0)).withColumn("block", F.lit("x"))
+    step = lines.advance(None, df)
+    got = marks(step.state)
     assert got == brute_lines(data)
-    clean = {(r.parent_id, r.text) for r in lines.removed(df, at.distinct()).collect()}
+    clean = {(r.parent_id, r.text) for r in lines.removed(df, step.state.marked).collect()}
     want = {(b, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if d is None or b is None or (b, i) not in got)) for d, b, t in data}
     assert clean == want
-
-
-def test_line_counts_grow_by_deltas(spark):
-    data = line_data()
-    df = frame(spark, data, "doc_id string, parent_id string, text string")
-    late = F.coalesce(F.xxhash64("parent_id") % 3 == 0, F.lit(False))
-    found = lines.block_lines(df, batch=late)
-    old, new = (lines.line_counts(found.filter(f"batch = {i}")) for i in (0, 1))
-    after = lines.merge(old, new, ["source", "line"], "blocks")
-    assert {tuple(r) for r in after.collect()} == {tuple(r) for r in lines.line_counts(found).collect()}
-    size_old, size_new = lines.source_sizes(df.filter(~late)), lines.source_sizes(df.filter(late))
-    before_hits, hits = lines.repeated(old, size_old), lines.repeated(after, lines.merge(size_old, size_new, ["source"], "total"))
-    moved = {(r.source, r.line): r.crossed for r in lines.crossings(before_hits, hits).collect()}
-    a, b = ({tuple(r) for r in x.collect()} for x in (before_hits, hits))
-    assert moved == {**{k: 1 for k in b - a}, **{k: -1 for k in a - b}}
-
-
-def test_no_lines_in_empty_tables(spark):
-    df = frame(spark, [], "doc_id string, parent_id string, text string")
-    found = lines.block_lines(df)
-    assert lines.repeated(lines.line_counts(found), lines.source_sizes(df)).count() == 0
+    none = lines.advance(None, df.limit(0))
+    assert none.state.marked.count() == none.rebuild.count() == none.crossed.count() == 0
+
+
+def test_deltas_give_what_one_batch_gives(spark, tmp_path):
+    # three deltas, one of which sends blocks again with other texts, against one batch of the last texts
+    schema = "doc_id string, parent_id string, text string"
+    data = [r for r in line_data() if r[0] is not None and r[1] is not None]
+    data = list({b: (d, b, t) for d, b, t in data}.values())
+    parts = [[r for i, r in enumerate(data) if i % 3 == k] for k in range(3)]
+    parts[2] += [(d, b, "Share: Mail\nquite another text") for d, b, _ in parts[0][:6]] + [("d1", parts[1][0][1], None)]
+    last = {}
+    state, clean, before = None, None, set()
+    for k, part in enumerate(parts):
+        last.update({b: (d, b, t) for d, b, t in part})
+        now = frame(spark, list(last.values()), schema)
+        step = lines.advance(state, frame(spark, part, schema))
+        state = step.state
+        assert marks(state) == brute_lines(last.values())
+        hits = {tuple(r) for r in state.hits.collect()}
+        assert {(r.source, r.line): r.crossed for r in step.crossed.collect()} == {**{h: 1 for h in hits - before}, **{h: -1 for h in before - hits}}
+        before = hits
+        clean = lines.removed(now, state.marked) if clean is None else lines.rebuilt(clean, now, step)
+        assert {tuple(r) for r in clean.collect()} == {tuple(r) for r in lines.removed(now, state.marked).collect()}
+        crossed = {(r.source, r.line) for r in step.crossed.collect()}
+        touched = {r.block for r in state.places.collect() if (r.source, r.line) in crossed} | {b for _, b, _ in part}
+        assert {r.block for r in step.rebuild.collect()} == touched
+        if k < 2:
+            lines.save(state, str(tmp_path / f"v{k}"))
+            state = lines.load(spark, str(tmp_path / f"v{k}"))
+    whole = lines.advance(None, frame(spark, list(last.values()), schema)).state
+    for name in ("blocks", "places", "counts", "hits", "marked"):
+        a, b = ({json.dumps(r.asDict(), sort_keys=True) for r in getattr(x, name).collect()} for x in (state, whole))
+        assert a == b, name
+    # a delta that crosses nothing leaves the other blocks alone
+    quiet = lines.advance(state, frame(spark, [("d7", "new", "nothing like it")], schema))
+    assert quiet.crossed.count() == 0 and [r.block for r in quiet.rebuild.collect()] == ["new"]
 
 
 # --- problem 3
