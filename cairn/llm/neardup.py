@@ -2,16 +2,22 @@
 
 Method: binary trie self-join over bit sketches. A text's set of character runs is hashed to ``PASSES * BINS``
 minimum hashes; their lowest bits make a 128-bit sketch, in which two sets of similarity s differ in about
-(1 - s) / 2 of the bits. Sketches hang in a forest of binary tries. In each of ``trees`` tries the path from the
-root begins with the bits of a few whole minimum hashes, where no difference is allowed, and goes on with the
-sketch. Below such a path, node pairs are traversed together, 16 bits a step, adding up the differing bits; a
-pair of nodes is left as soon as the sum exceeds the Hamming budget. Pairs of leaves that stay within it are
-verified against the exact sets.
-
-Spark shuffles the rows by path, so that each group is one trie node; a node of more than ``BLOCK`` texts is cut
-into blocks, and every pair of blocks is its own group, so none grows with the data. Copies of a text take
-part once. ``path`` and ``trees`` are such that the chance of missing a pair at the threshold is below 0.001
-(tests measure recall against brute force).
+(1 - s) / 2 of the bits, and unlike ones in half of them. Sketches hang in a forest of binary tries. In each of
+``trees`` tries the path from the root begins with the bits of a few whole minimum hashes, where no difference is
+allowed, and goes on with the sketch. Below such a path, node pairs are traversed together, ``STEP_BITS`` bits a step,
+adding up the differing bits. The error budget grows with the depth: at every depth it is what pairs at the threshold
+stay within but for a few in a million, so that unlike pairs are left after some 40 bits and not only near the leaves.
+Paths of single texts are compressed: what remains of two of them is compared at once. Pairs of leaves that stay within
+the budget are verified against the exact sets.
+
+Spark shuffles the rows by path, so that each group is one trie node. Paths that many texts share are found before,
+from counts within batches, and their texts are spread by a hash over blocks of about ``BLOCK`` texts; so is any other
+node of more than ``BLOCK`` texts, without being held. Every pair of blocks is a group of its own, so no group grows with
+the data; a text of such a node of n is sent to n / ``BLOCK`` groups. Copies of a text take part once. ``path`` and
+``trees`` follow from the number of records (``Shape.fitted``), such that the chance of missing a pair at the threshold
+is below 0.001 (tests measure recall against brute force).
+
+Texts are told apart by a 64-bit hash: among a billion different texts the chance that any two share one is 0.03.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +35,21 @@ from pyspark.sql import functions as F
 from cairn.runtime import settle
 
 #: Texts of one trie node that are joined in one group.
-BLOCK = 1024
+BLOCK = 8192
+#: Bits that a step of the traversal goes down, and deviations from the mean that the error budget allows at each depth.
+STEP_BITS, DEVIATIONS = 4, 4.0
+#: Texts of a batch that are counted together to find paths that many share.
+COUNTED = 20_000
+#: Steps of compressed paths that are compared at once.
+PATH_STEPS = 8
 #: Node pairs that a step of the traversal expands at once.
 STEP = 1_000_000
 #: Unicode white space. Fixed values.
 WHITE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 SKETCH_BITS = 128
+#: Chance with which a pair at the threshold may be missed.
+MISSED = 0.001
 
 
 @dataclass(frozen=True)
@@ -50,9 +64,19 @@ class Shape:
     trees: int
 
     @property
-    def budget(self) -> int:
-        p = (1 - self.threshold) / 2
-        return math.ceil(SKETCH_BITS * p + 4.5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
+    def budgets(self) -> np.ndarray:
+        """The most differing bits down to each depth, a multiple of ``STEP_BITS``, of the sketch."""
+        p, depth = (1 - self.threshold) / 2, np.arange(STEP_BITS, SKETCH_BITS + 1, STEP_BITS)
+        return np.ceil(depth * p + DEVIATIONS * np.sqrt(depth * p * (1 - p))).astype(np.int64)
+
+    def fitted(self, records: int) -> Shape:
+        """The shape for so many records: each hash of the root path cuts by about a hundred the unlike texts that share
+        it by chance, and the trees are so many that a pair at the threshold is missed with a chance below ``MISSED``."""
+        path = max(self.path, math.ceil(math.log(max(2, records), 100)))
+        if path == self.path:
+            return self
+        trees = math.ceil(math.log(MISSED) / math.log(1 - self.threshold**path))
+        return replace(self, path=path, trees=trees, passes=max(self.passes, -(-path * trees // self.bins)))
 
 
 BLOCKS = Shape(run=8, threshold=0.6, passes=8, bins=16, path=3, trees=32)
@@ -132,29 +156,62 @@ def signatures(texts: list[str], shape: Shape) -> tuple[np.ndarray, np.ndarray,
     return paths.view(np.int64), sketch, some
 
 
-def trie_pairs(words: np.ndarray, roots: np.ndarray, frontier: tuple[np.ndarray, np.ndarray], budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i, j) within the Hamming budget, by joint traversal of node pairs.
+def trie_pairs(steps: np.ndarray, roots: np.ndarray, frontier: tuple[np.ndarray, np.ndarray], budgets: np.ndarray, left: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs (i, j) within the error budget of every depth, by joint traversal of node pairs.
 
-    ``words``: sketches as 16-bit words, a row each, sorted within each root. ``roots``: first row of each
-    root. ``frontier``: the pairs of roots to traverse together, a root with itself for a self-join.
+    ``steps``: sketches as numbers of ``STEP_BITS`` bits, a row each, sorted within each root. ``roots``: first row of
+    each root. ``frontier``: the pairs of roots to traverse together, a root with itself for a self-join. ``budgets``:
+    the most differing bits down to each depth. ``left`` takes (depth, pairs of rows that were looked at, pairs that
+    stayed) for reports.
     """
-    n, depth = words.shape
+    n, depth = steps.shape
     new = np.zeros(n, bool)
     new[roots] = True
     starts, child_of = [np.flatnonzero(new)], []
     for level in range(depth):
         step = np.zeros(n, bool)
-        step[1:] = words[1:, level] != words[:-1, level]
+        step[1:] = steps[1:, level] != steps[:-1, level]
         new = new | step
         starts.append(np.flatnonzero(new))
         first = np.searchsorted(starts[level + 1], starts[level])
         child_of.append(np.r_[first, len(starts[level + 1])])
     ends = [np.r_[s[1:], n] for s in starts]
-    child_of.append(np.r_[starts[depth], n])  # below the last level, a node's children are its rows
     found_i, found_j = [], []
+
+    def note(level: int, seen: np.ndarray, kept: np.ndarray) -> None:
+        if left is not None:
+            left.append((level + 1, int(seen.sum()), int(seen[kept].sum())))
+
+    def finish(level: int, i: np.ndarray, j: np.ndarray, err: np.ndarray) -> None:
+        """Pairs of single rows: what remains of their paths is compared at once, some steps at a time."""
+        while level < depth and len(i):
+            to = min(depth, level + PATH_STEPS)
+            e = err[:, None] + np.cumsum(np.bitwise_count(steps[i, level:to] ^ steps[j, level:to]), axis=1, dtype=np.int64)
+            ok = e <= budgets[level:to]
+            stays = np.logical_and.accumulate(ok, axis=1)
+            seen = np.ones(len(i), bool)
+            for k in range(to - level):
+                note(level + k, seen, stays[:, k])
+                seen = stays[:, k]
+            keep = stays[:, -1]
+            i, j, err, level = i[keep], j[keep], e[keep, -1], to
+        if len(i):
+            found_i.append(i)
+            found_j.append(j)
+
     stack = [(0, *frontier, np.zeros(len(frontier[0]), np.int64))]
     while stack:
         level, u, v, err = stack.pop()
+        if level == depth:  # equal paths all the way: every row of one with every row of the other
+            nu, nv = ends[level][u] - starts[level][u], ends[level][v] - starts[level][v]
+            size = nu * nv
+            pair = np.repeat(np.arange(len(u)), size)
+            at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            a, b = starts[level][u][pair] + at // nv[pair], starts[level][v][pair] + at % nv[pair]
+            keep = (u != v)[pair] | (a < b)
+            found_i.append(a[keep])
+            found_j.append(b[keep])
+            continue
         kids = child_of[level]
         nu, nv = kids[u + 1] - kids[u], kids[v + 1] - kids[v]
         size = nu * nv
@@ -162,32 +219,36 @@ def trie_pairs(words: np.ndarray, roots: np.ndarray, frontier: tuple[np.ndarray,
             half = len(u) // 2
             stack += [(level, u[:half], v[:half], err[:half]), (level, u[half:], v[half:], err[half:])]
             continue
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         pair = np.repeat(np.arange(len(u)), size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         a, b = kids[u][pair] + at // nv[pair], kids[v][pair] + at % nv[pair]
         own = (u == v)[pair]
-        if level == depth:
-            keep = ~own | (a < b)
-            found_i.append(a[keep])
-            found_j.append(b[keep])
-            continue
-        s = starts[level + 1]
-        keep = ~own | (a < b) | ((a == b) & (ends[level + 1][a] - s[a] > 1))
+        s, e = starts[level + 1], ends[level + 1]
+        held = e - s
+        keep = ~own | (a < b) | ((a == b) & (held[a] > 1))
         a, b, pair = a[keep], b[keep], pair[keep]
-        e = err[pair] + np.bitwise_count(words[s[a], level] ^ words[s[b], level])
-        keep = e <= budget
-        if keep.any():
-            stack.append((level + 1, a[keep], b[keep], e[keep]))
+        total = err[pair] + np.bitwise_count(steps[s[a], level] ^ steps[s[b], level])
+        keep = total <= budgets[level]
+        note(level, np.where(a == b, held[a] * (held[a] - 1) // 2, held[a] * held[b]), keep)
+        a, b, total = a[keep], b[keep], total[keep]
+        single = (held[a] == 1) & (held[b] == 1)
+        if single.any():
+            finish(level + 1, s[a[single]], s[b[single]], total[single])
+        if not single.all():
+            stack.append((level + 1, a[~single], b[~single], total[~single]))
     none = np.zeros(0, np.int64)
     return (np.concatenate(found_i) if found_i else none), (np.concatenate(found_j) if found_j else none)
 
 
-def _words(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    both = np.stack([s1, s2], axis=1).astype(">i8")
-    return both.view(">u2").astype(np.uint16)
+def _steps(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """Sketches as numbers of ``STEP_BITS`` = 4 bits, in order."""
+    both = np.ascontiguousarray(np.stack([s1, s2], axis=1).astype(">i8")).view(np.uint8).reshape(len(s1), -1)
+    out = np.empty((len(s1), 2 * both.shape[1]), np.uint8)
+    out[:, 0::2], out[:, 1::2] = both >> 4, both & 15
+    return out
 
 
-def _join_sorted(key: np.ndarray, side: np.ndarray, tid: np.ndarray, s1: np.ndarray, s2: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _join_sorted(key: np.ndarray, side: np.ndarray, tid: np.ndarray, s1: np.ndarray, s2: np.ndarray, budgets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs within each key; where a key has rows of two sides, only pairs across them."""
     u1, u2 = s1.view(np.uint64), s2.view(np.uint64)
     order = np.lexsort((u2, u1, side, key))
@@ -204,7 +265,7 @@ def _join_sorted(key: np.ndarray, side: np.ndarray, tid: np.ndarray, s1: np.ndar
     alone = ~paired & ~np.r_[paired[1:], False] & (sizes > 1)
     u = np.concatenate([r[alone], across - 1])
     v = np.concatenate([r[alone], across])
-    i, j = trie_pairs(_words(s1, s2), roots, (u, v), budget)
+    i, j = trie_pairs(_steps(s1, s2), roots, (u, v), budgets)
     return tid[i], tid[j]
 
 
@@ -229,7 +290,7 @@ def _blocks(cols: list, rows: slice, chunk: int) -> Iterator[pa.RecordBatch]:
         chunk += 1
 
 
-def _join_small_nodes(budget: int):  # noqa: ANN202
+def _join_small_nodes(budgets: np.ndarray):  # noqa: ANN202
     """Over rows sorted by path: pairs of every node of at most BLOCK texts; larger nodes are passed on in
     numbered blocks (b null), never held whole."""
 
@@ -268,7 +329,7 @@ def _join_small_nodes(budget: int):  # noqa: ANN202
             rows = np.repeat((sizes > 1) & (sizes <= BLOCK), sizes)
             if rows.any():
                 k, t, s1, s2 = (c[:cut][rows] for c in cols)
-                a, b = _join_sorted(k, np.zeros(len(k), np.int8), t, s1, s2, budget)
+                a, b = _join_sorted(k, np.zeros(len(k), np.int8), t, s1, s2, budgets)
                 if len(a):
                     yield _emit(np.minimum(a, b), np.maximum(a, b))
 
@@ -281,7 +342,7 @@ def _with_end(batches: Iterator) -> Iterator[tuple[bool, object]]:
     yield True, None
 
 
-def _join_block_pairs(budget: int):  # noqa: ANN202
+def _join_block_pairs(budgets: np.ndarray):  # noqa: ANN202
     """Over rows sorted by block pair (g): pairs across the two blocks, or within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +354,7 @@ def _join_block_pairs(budget: int):  # noqa: ANN202
                 continue
             cut = len(g) if last else int(np.searchsorted(g, g[-1], "left"))
             if cut:
-                a, b = _join_sorted(*(c[:cut] for c in cols), budget)
+                a, b = _join_sorted(*(c[:cut] for c in cols), budgets)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
             kept = [c[cut:] for c in cols]
@@ -320,20 +381,40 @@ def signed(texts: DataFrame, prepare, shape: Shape) -> DataFrame:  # noqa: ANN00
     return rows.dropDuplicates(["tid"])
 
 
+def shared_paths(signed_rows: DataFrame) -> DataFrame:
+    """(key, n): root paths that more than ``BLOCK`` texts share, with about their number. Counted within batches, where a
+    path of many texts stands more than once, so that hardly more than the shared ones are shuffled; one that is missed
+    is cut into blocks later."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = []
+        for last, batch in _with_end(batches):
+            kept += [] if batch is None else [batch.column(0).flatten().to_numpy(zero_copy_only=False)]
+            if kept and (last or sum(map(len, kept)) >= COUNTED * 32):
+                key, n = np.unique(np.concatenate(kept), return_counts=True)
+                kept = []
+                yield pa.RecordBatch.from_arrays([pa.array(key[n > 1]), pa.array(n[n > 1])], ["key", "n"])
+
+    return signed_rows.select("paths").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > BLOCK)
+
+
 def candidate_pairs(signed_rows: DataFrame, shape: Shape) -> DataFrame:
-    """(a, b) with a < b: distinct text pairs whose sketches the trie self-join keeps."""
+    """(a, b) with a < b: distinct text pairs whose sketches the trie self-join keeps. ``signed_rows`` is settled."""
+    shared = settle(shared_paths(signed_rows))
     rows = signed_rows.select(F.explode("paths").alias("key"), "tid", "s1", "s2")
-    rows = rows.repartition("key").sortWithinPartitions("key")
-    first = settle(rows.mapInArrow(_join_small_nodes(shape.budget), _OUT))
+    alone = rows.join(shared, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    first = settle(alone.mapInArrow(_join_small_nodes(shape.budgets), _OUT))
     small = first.filter("b is not null").select("a", "b")
     large = first.filter("b is null").select("key", "chunk", F.col("a").alias("tid"), "s1", "s2")
-    blocks = large.groupBy("key").agg((F.max("chunk") + 1).alias("n"))
-    spread = large.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    blocks = large.groupBy("key").agg((F.max("chunk") + 1).alias("blocks"))
+    spread = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    spread = spread.select("key", F.pmod(F.xxhash64("tid", "key"), "blocks").cast("int").alias("chunk"), "tid", "s1", "s2", "blocks")
+    spread = spread.unionByName(large.join(blocks, "key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
         F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), (F.col("chunk") > F.col("other")).cast("tinyint").alias("side"), "tid", "s1", "s2"
     )
     spread = spread.repartition("g").sortWithinPartitions("g")
-    across = spread.mapInArrow(_join_block_pairs(shape.budget), "a bigint, b bigint")
+    across = spread.mapInArrow(_join_block_pairs(shape.budgets), "a bigint, b bigint")
     return small.unionByName(across).distinct()
 
 
@@ -380,7 +461,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, prepare, shape: Shape) -
     """
     rows = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("tid"), df[text].alias("text")).filter("key is not null and text is not null")
     members = rows.select("key", "tid").distinct()
-    links = settle(verified(candidate_pairs(signed(rows, prepare, shape), shape), rows.select("tid", "text"), prepare, shape))
+    shape = shape.fitted(df.count())
+    links = settle(verified(candidate_pairs(settle(signed(rows, prepare, shape)), shape), rows.select("tid", "text"), prepare, shape))
     return NearDuplicates(members, links)
 
 

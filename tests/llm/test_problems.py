@@ -84,11 +84,13 @@ def test_large_trie_nodes_are_cut_into_blocks(spark, monkeypatch):
     rows = [(1, i, int(s1), int(s2)) for i, (s1, s2) in enumerate(np.random.default_rng(2).integers(-(2**62), 2**62, (40, 2)))] + [(2, 100, 5, 5), (2, 101, 5, 4)]
     import pyarrow as pa
 
+    loose = np.full(32, 128)
+
     def batches():
         for part in (rows[:7], rows[7:9], rows[9:]):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], ["key", "tid", "s1", "s2"])
 
-    out = [r for b in neardup._join_small_nodes(128)(batches()) for r in b.to_pylist()]
+    out = [r for b in neardup._join_small_nodes(loose)(batches()) for r in b.to_pylist()]
     assert {(r["a"], r["b"]) for r in out if r["b"] is not None} == {(100, 101)}
     hot = [r for r in out if r["b"] is None]
     assert sorted(r["a"] for r in hot) == list(range(40)) and max(sum(1 for r in hot if r["chunk"] == c) for c in {r["chunk"] for r in hot}) <= 2
@@ -96,21 +98,67 @@ def test_large_trie_nodes_are_cut_into_blocks(spark, monkeypatch):
     for i, j in itertools.combinations_with_replacement(sorted({r["chunk"] for r in hot}), 2):
         part = [(0, int(r["chunk"] == j and i != j), r["a"], r["s1"], r["s2"]) for r in hot if r["chunk"] in (i, j)]
         g = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], ["g", "side", "tid", "s1", "s2"])
-        pairs += [(r["a"], r["b"]) for b in neardup._join_block_pairs(128)(iter([g])) for r in b.to_pylist()]
+        pairs += [(r["a"], r["b"]) for b in neardup._join_block_pairs(loose)(iter([g])) for r in b.to_pylist()]
     assert sorted(pairs) == list(itertools.combinations(range(40), 2))
     assert whole
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 2**16 - 1), min_size=2, max_size=40), st.integers(0, 20))
-def test_trie_join_is_exact(values, budget):
-    w = np.array(sorted((v, v ^ 0x5A5A) for v in values), np.uint16)
-    i, j = neardup.trie_pairs(w, np.array([0]), (np.array([0]), np.array([0])), budget)
-    bits = [int(a) << 16 | int(b) for a, b in w]
-    want = {(a, b) for a, b in itertools.combinations(range(len(bits)), 2) if (bits[a] ^ bits[b]).bit_count() <= budget}
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**16 - 1), min_size=2, max_size=40), st.lists(st.integers(0, 6), min_size=8, max_size=8))
+def test_trie_join_is_exact(values, more):
+    budgets = np.cumsum(more)
+    bits = sorted(v << 16 | (v ^ 0x5A5A) for v in values)
+    steps = np.array([[b >> (28 - 4 * k) & 15 for k in range(8)] for b in bits], np.uint8)
+    i, j = neardup.trie_pairs(steps, np.array([0]), (np.array([0]), np.array([0])), budgets)
+
+    def close(a, b):
+        return all((a >> (28 - 4 * k) ^ b >> (28 - 4 * k)).bit_count() <= budgets[k] for k in range(8))
+
+    want = {(a, b) for a, b in itertools.combinations(range(len(bits)), 2) if close(bits[a], bits[b])}
     assert {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())} == want and len(i) == len(want)
 
 
+def test_trie_join_prunes_early():
+    # of unlike texts hardly any pair is left at half of the depth; pairs at the threshold stay
+    rng = np.random.default_rng(8)
+    s = rng.integers(-(2**63), 2**63, (3000, 2))
+    order = np.lexsort((s[:, 1].view(np.uint64), s[:, 0].view(np.uint64)))
+    left = []
+    neardup.trie_pairs(neardup._steps(*s[order].T), np.array([0]), (np.array([0]), np.array([0])), neardup.BLOCKS.budgets, left)
+    share = {}
+    for depth, seen, stay in left:
+        share[depth] = share.get(depth, 0) + stay
+    every = 3000 * 2999 / 2
+    assert share[2] > 0.99 * every  # 8 bits tell little
+    assert share[8] < 0.6 * every and share[12] < 0.3 * every and share[16] < 0.12 * every and share[24] < 0.01 * every
+    flips = rng.random((100_000, 128)) < (1 - neardup.BLOCKS.threshold) / 2
+    errors = flips.reshape(len(flips), 32, 4).sum(2).cumsum(1)
+    assert (errors > neardup.BLOCKS.budgets).any(1).mean() < 1e-3
+
+
+def test_shape_follows_the_number_of_records():
+    for shape in (neardup.BLOCKS, neardup.NAMES):
+        for n in (0, 10**5, 10**7, 10**9, 10**11):
+            s = shape.fitted(n)
+            assert (1 - s.threshold**s.path) ** s.trees <= neardup.MISSED and s.passes * s.bins >= s.path * s.trees
+    assert neardup.BLOCKS.fitted(10**9).path > neardup.BLOCKS.fitted(10**5).path == 3
+
+
+def test_shared_paths_are_spread(spark, monkeypatch):
+    # a third of the texts are variants of one: their paths are found before the shuffle and the result is the same
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    data = [(f"h{i}", " ".join([*base[:60], f"variant{i}", *base[60:]])) for i in range(60)] + [(f"o{i}", " ".join(rng.choice(words) for _ in range(60))) for i in range(100)]
+    df = frame(spark, data, "key string, text string").coalesce(1)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    rows = df.select("key", F.xxhash64("text").alias("tid"), "text")
+    shared = neardup.shared_paths(neardup.signed(rows, neardup.squeezed, neardup.BLOCKS)).collect()
+    assert shared and all(8 < r.n <= 60 for r in shared)
+    got = {tuple(r) for r in neardup.record_pairs(neardup.near_duplicates(df, "key", "text", neardup.squeezed, neardup.BLOCKS)).collect()}
+    assert got == brute_pairs(data, neardup.squeezed, 8, 0.6) and len(got) >= 60 * 59 / 2
+
+
 def test_no_near_duplicates_in_empty_tables(spark):
     found = neardup.near_duplicates(frame(spark, [], "key string, text string"), "key", "text", neardup.squeezed, neardup.BLOCKS)
     assert neardup.record_pairs(found).count() == 0 and neardup.classes(found).count() == 0
