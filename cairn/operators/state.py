@@ -11,8 +11,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from cairn.runtime import settle
+
 #: Keys' histories are cut into slices of this length, so that no task holds the whole history of a key.
 SLICE_US = 3_600_000_000
+#: Parts in which a range of values is counted, and values that may be ordered row by row.
+PARTS, MOST = 4096, 1_000_000
 
 
 def seconds(ts: Column) -> Column:
@@ -123,21 +127,53 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str) -> D
     return both.filter("__side = 1").withColumn(value, F.coalesce("__local", "__carry")).drop("__side", "__v", "us", "__hour", "__local", "__carry")
 
 
-def quantiles(df: DataFrame, label: str, value: str, at: list[float], width: float = 1.0) -> DataFrame:
-    """(label, q, value): nearest-rank quantiles, index half-even-rounded q * (n - 1); nulls and NaN are left out.
+def at_ranks(df: DataFrame, label: str, value: str, sought: DataFrame, most: int = MOST) -> DataFrame:
+    """``sought`` (label, index, and any other columns) with ``value``: the value of that index from 0 among the label's
+    values in order. Values must be neither null nor NaN, and an index below their number.
 
-    Values are counted by range of ``width`` first; only the range that holds a sought rank is ordered row by
-    row, so no label's values are gathered or sorted as a whole.
+    The range of each label is counted in ``PARTS`` equal parts, of which only the one that holds the index is looked at
+    again, until it has at most ``most`` values or one value only; so no label's values are gathered or sorted as a
+    whole, however they are spread. A null label is one.
     """
-    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(label, value, F.floor(F.col(value) / width).alias("range"))
-    counts = v.groupBy(label, "range").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(label).orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("end", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy(label)))
-    sought = counts.withColumn("q", F.explode(F.array(*map(F.lit, at)))).withColumn("index", F.bround(F.col("q") * (F.col("total") - 1)).cast("bigint"))
-    sought = sought.filter((F.col("index") < F.col("end")) & (F.col("index") >= F.col("end") - F.col("n"))).select(label, "range", "q", (F.col("index") - F.col("end") + F.col("n") + 1).alias("nth"))
-    rows = v.join(sought.select(label, "range").distinct(), [label, "range"], "left_semi")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(label, "range").orderBy(value)))
-    return sought.join(rows, [label, "range", "nth"]).select(label, "q", value)
+    spans = df.groupBy(label).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count("*").alias("__n"))
+    want = sought.select(label, "index").distinct()
+    now = settle(_same(want, spans, label).select(label, "index", "__low", "__high", "__n", F.lit(0).cast("bigint").alias("__skip")))
+    while not now.filter((F.col("__n") > most) & (F.col("__low") < F.col("__high"))).isEmpty():
+        inside = _same(df.select(label, value), now, label).filter(F.col(value).between(F.col("__low"), F.col("__high")))
+        part = F.least(F.floor((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * PARTS), F.lit(PARTS - 1))
+        counts = inside.groupBy(label, "index", "__skip", F.coalesce(part, F.lit(0)).alias("part")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count("*").alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy(label, "index").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.withColumn("__skip", F.col("__skip") + before)
+        now = settle(counts.filter((F.col("index") >= F.col("__skip")) & (F.col("index") < F.col("__skip") + F.col("__n"))).drop("part"))
+    inside = _same(df.select(label, value), now, label).filter(F.col(value).between(F.col("__low"), F.col("__high")))
+    counts = inside.groupBy(label, "index", "__skip", value).agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(label, "index").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) + F.col("__skip")
+    found = counts.withColumn("__end", upto).filter((F.col("index") < F.col("__end")) & (F.col("index") >= F.col("__end") - F.col("__n")))
+    return _same(sought, found.select(label, F.col("index").alias("__index"), value), label).filter("index = __index").drop("__index")
+
+
+def _same(left: DataFrame, right: DataFrame, label: str) -> DataFrame:
+    """``left`` with the columns of the rows of ``right`` that have its label, nulls being equal."""
+    r = right.withColumnRenamed(label, "__label")
+    shared = [c for c in r.columns if c in left.columns]
+    return left.join(r.drop(*shared), left[label].eqNullSafe(r["__label"])).drop("__label")
+
+
+def quantiles(df: DataFrame, label: str, value: str, at: list[float]) -> DataFrame:
+    """(label, q, value): nearest-rank quantiles, index half-even-rounded q * (n - 1); nulls and NaN are left out."""
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(label, value)
+    n = v.groupBy(label).agg(F.count("*").alias("n")).withColumn("q", F.explode(F.array(*map(F.lit, at))))
+    return at_ranks(v, label, value, n.select(label, "q", F.bround(F.col("q") * (F.col("n") - 1)).cast("bigint").alias("index"))).select(label, "q", value)
+
+
+def interpolated(df: DataFrame, label: str, value: str, at: list[float]) -> DataFrame:
+    """(label, q, value): quantiles between the two values about q * (n - 1), in proportion; nulls and NaN are left out."""
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(label, value)
+    n = v.groupBy(label).agg(F.count("*").alias("n")).withColumn("q", F.explode(F.array(*map(F.lit, at)))).withColumn("place", F.col("q") * (F.col("n") - 1))
+    both = n.withColumn("index", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))))
+    found = at_ranks(v, label, value, both.select(label, "q", "place", "index"))
+    low, high = F.min_by(value, "index"), F.max_by(value, "index")
+    return found.groupBy(label, "q").agg((low + (high - low) * (F.first("place") - F.floor(F.first("place")))).alias(value))
 
 
 def histogram(df: DataFrame, label: str, value: str, bounds: list[float]) -> DataFrame:

@@ -31,7 +31,8 @@ def latency_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interpolated_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    found = state.interpolated(_events(spark, sf_dir), "event_type", "value", [0.5, 0.9])
+    return found.groupBy("event_type").agg(*(F.round(F.max(F.when(F.col("q") == q, F.col("value"))), 6).alias(n) for q, n in ((0.5, "p50"), (0.9, "p90"))))
 
 
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
