@@ -72,3 +72,46 @@ def visible_counts(users: DataFrame, documents: DataFrame) -> DataFrame:
     j = u.join(tenant, "tenant_id", "left").join(own, "user_id", "left").crossJoin(F.broadcast(public))  # a single row
     zero = F.lit(0).cast("bigint")
     return j.select("user_id", (F.col("n_public") + F.coalesce("n_tenant", zero) + F.coalesce("n_own", zero)).alias("documents"))
+
+
+# What the two access columns may hold.
+STATUSES, VISIBILITIES = ("draft", "published", "archived"), ("private", "tenant", "public")
+
+
+def with_status(documents: DataFrame, to: Column, by: Column, at: Column) -> DataFrame:
+    """``documents`` with a new ``status``; those that become published are stamped, others keep their stamps. A null
+    status changes nothing."""
+    published = F.coalesce(to == "published", F.lit(False))
+    stamped = documents.withColumn("published_at", F.when(published, at).otherwise(F.col("published_at"))).withColumn("published_by", F.when(published, by).otherwise(F.col("published_by")))
+    return stamped.withColumn("status", F.coalesce(to, F.col("status")))
+
+
+def checked_access(status: Column, visibility: Column) -> Column:
+    """struct(status, visibility); the query fails on a value that is none of those known."""
+
+    def one(x: Column, known: tuple[str, ...], what: str) -> Column:
+        return F.when(x.isin(*known), x).otherwise(F.raise_error(F.concat(F.lit(f"unknown {what}: "), F.coalesce(x, F.lit("null")))))
+
+    return F.struct(one(status, STATUSES, "status").alias("status"), one(visibility, VISIBILITIES, "visibility").alias("visibility"))
+
+
+def merged_meta(chunks: DataFrame, changes: DataFrame, source: str, meta: str = "meta") -> DataFrame:
+    """``chunks`` with the entries of their source's ``changes`` (source, meta) put into their map: other entries stay, and
+    sources without changes stay as they are. ``changes`` has one row per source."""
+    c = changes.select(F.col(source).alias("__s"), F.col(meta).alias("__m"))
+    j = chunks.join(c, F.col(source) == F.col("__s"), "left")
+    old = F.coalesce(F.col(meta), F.create_map().cast("map<string,string>"))
+    both = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(F.col("__m"), k)), F.col("__m"))
+    return j.withColumn(meta, F.when(F.col("__m").isNull(), F.col(meta)).otherwise(both)).drop("__s", "__m")
+
+
+def listed(documents: DataFrame, status: str | None = None, tenant: str | None = None, limit: int = 200) -> DataFrame:
+    """The latest uploads, of a status and of a tenant if given; at least 1 and at most 1000 of them."""
+    rows = documents if not status else documents.filter(F.col("status") == status)
+    rows = rows if not tenant else rows.filter(F.col("tenant_id") == tenant)
+    return rows.orderBy(F.desc_nulls_last("uploaded_at"), "doc_id").limit(max(1, min(limit, 1000)))
+
+
+def still_to_do(wanted: DataFrame, done: DataFrame, key: str, status: str = "status") -> DataFrame:
+    """What of ``wanted`` has not been done with status ``ok``: a run goes on where the last one stopped."""
+    return wanted.join(done.filter(F.col(status) == "ok").select(key).distinct(), key, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.config import DEFAULT, Retrieval
-from cairn.functions.text import estimated_tokens
+from cairn.functions.text import WIDE_WEIGHT, estimated_tokens
 
 
 def top_k(scored: DataFrame, k: int, *order: Column, by: str = "q_id") -> DataFrame:
@@ -73,6 +73,42 @@ def pack_prefix(ranked: DataFrame, budget: int, text: str = "context") -> DataFr
     return sized.withColumn("used", F.sum("tokens").over(w)).filter(F.col("used") <= budget).select("q_id", "id", "rank", "tokens", "used")
 
 
+def pack_whole(ranked: DataFrame, budget: int, text: str = "context") -> DataFrame:
+    """(q_id, kept, total, truncated, used, notice): what a budget of tokens holds of each question's blocks.
+
+    Blocks are taken in rank order up to the first that does not fit. If that is the first of all, its whole sentences
+    that fit are taken, or as many characters as surely do. The notice says how much is missing, and is empty if
+    nothing is. A budget of 0 or less holds nothing.
+    """
+    w = Window.partitionBy("q_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    sized = ranked.select("q_id", "rank", F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("tokens", estimated_tokens(F.col("t")))
+    sized = sized.withColumn("used", F.sum("tokens").over(w))
+    fits = (F.col("used") <= budget) & F.lit(budget > 0)
+    first = F.min_by(F.struct("t", "tokens"), "rank")
+    g = sized.groupBy("q_id").agg(F.count("*").alias("total"), F.sum(fits.cast("int")).alias("kept"), F.coalesce(F.max(F.when(fits, F.col("used"))), F.lit(0)).alias("used"), first.alias("f"))
+    cut = F.col("kept").eqNullSafe(0) & F.lit(budget > 0) & (F.length("f.t") > 0)
+    g = g.withColumn("part", F.when(cut, sentences_within(F.col("f.t"), budget))).withColumn("truncated", F.coalesce(F.col("part") != "", F.lit(False)))
+    g = g.withColumn("kept", F.when(F.col("truncated"), 1).otherwise(F.col("kept"))).withColumn("used", F.when(F.col("truncated"), estimated_tokens(F.col("part"))).otherwise(F.col("used")))
+    less = F.col("total") - F.col("kept")
+    notice = F.concat_ws("; ", F.format_string("%d of %d blocks", F.col("kept").cast("int"), F.col("total").cast("int")), F.when(less > 0, F.format_string("%d dropped", less.cast("int"))), F.when(F.col("truncated"), "1 cut"))
+    return g.select("q_id", F.col("kept").cast("bigint").alias("kept"), "total", "truncated", "used", F.when((less > 0) | F.col("truncated"), notice).otherwise("").alias("notice"))
+
+
+def sentences_within(text: Column, budget: int) -> Column:
+    """The whole sentences at the beginning of a text that ``budget`` tokens hold; if the first does not fit, the
+    characters that surely do."""
+    said = F.regexp_extract_all(text, F.lit(r"(?s)[^。！？!?；;\n]*(?:[。！？!?；;\n]+|$)"), F.lit(0))
+    start = F.struct(F.lit("").alias("t"), F.lit(False).alias("full"))
+
+    def step(s: Column, x: Column) -> Column:
+        more = F.concat(s["t"], x)
+        full = s["full"] | (estimated_tokens(more) > budget)
+        return F.struct(F.when(full, s["t"]).otherwise(more).alias("t"), full.alias("full"))
+
+    whole = F.aggregate(said, start, step, lambda s: s["t"])
+    return F.when(whole != "", whole).otherwise(F.substring(text, 1, max(0, budget * 10 // int(10 * WIDE_WEIGHT))))
+
+
 def render(ranked: DataFrame, text: str = "context", label: str = "source") -> DataFrame:
     """(q_id, context): the numbered blocks of a question under their source labels, in rank order."""
     block = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce(F.col(label), F.lit("-")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")))

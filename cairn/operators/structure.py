@@ -205,3 +205,34 @@ def two_level_split(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     parent = deterministic_id("p_", F.col("k").cast("string"), F.col("parent_no").cast("string"))
     cut = cut.withColumn("parent_id", parent).withColumn("child_id", deterministic_id("c_", F.col("parent_id"), F.col("child_no").cast("string")))
     return cut.withColumnRenamed("k", key)
+
+
+def assembled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, nth, kind, path, body): the text and table blocks between the headings of each text, in order.
+
+    A table begins with a row (a line that begins with ``|``) before a separator row and goes on while rows follow; all
+    else that is no heading is text, of which blank blocks are left out. ``path`` has the titles in force. The last
+    heading before a block is put at its beginning, with its marks, unless another block came since. All of this is
+    told by windows over the lines of one text.
+    """
+    base = lines(df, key, text=text).withColumn("line_no", F.col("line_no").cast("bigint"))
+    w = Window.partitionBy(key).orderBy("line_no")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    s = strip(F.col("line"))
+    e = base.withColumn("__h", heading(F.col("line"))).withColumn("__row", s.startswith("|") & F.col("__h").isNull())
+    e = e.withColumn("__next", F.lead(s).over(w)).withColumn("__island", F.sum((~F.col("__row")).cast("int")).over(upto))
+    starts = F.col("__row") & F.coalesce(F.col("__next").rlike(r"^\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?$") & F.col("__next").contains("|"), F.lit(False))
+    begun = F.max(starts.cast("int")).over(Window.partitionBy(key, "__island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    e = e.withColumn("__kind", F.when(F.col("__h").isNotNull(), "heading").when(F.col("__row") & (begun == 1), "table").otherwise("text"))
+    new = (F.col("__kind") == "heading") | ~F.col("__kind").eqNullSafe(F.lag("__kind").over(w))
+    e = e.withColumn("__run", F.sum(new.cast("int")).over(upto))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    runs = e.groupBy(key, "__run", "__kind").agg(F.min("line_no").alias("line_no"), body.alias("body"), F.first("__h").alias("__h"))
+    runs = runs.withColumn("body", F.when(F.col("__kind") == "text", strip(F.col("body"))).otherwise(F.col("body"))).filter("__kind = 'heading' or body <> ''")
+    paths = heading_paths(df, key, text).select(F.col(key).alias("__k"), F.col("line_no").cast("bigint").alias("__at"), "path")
+    runs = runs.join(paths, (F.col(key) == F.col("__k")) & (F.col("line_no") == F.col("__at")), "left").drop("__k", "__at")
+    before = F.lag(F.struct("__kind", "__h")).over(w)
+    title = F.concat(F.repeat(F.lit("#"), before["__h"]["level"]), F.lit(" "), before["__h"]["title"], F.lit("\n"))
+    runs = runs.withColumn("path", F.coalesce(F.last("path", ignorenulls=True).over(upto), F.lit("")))
+    runs = runs.withColumn("body", F.when(before["__kind"] == "heading", F.concat(title, F.col("body"))).otherwise(F.col("body"))).filter("__kind <> 'heading'")
+    return runs.select(key, (F.row_number().over(w) - 1).alias("nth"), F.col("__kind").alias("kind"), "path", "body")
