@@ -78,11 +78,11 @@ def search_form(text: Column) -> Column:
 
 def pii_masked(text: Column) -> Column:
     """Identity numbers, cards, mobile numbers and e-mail addresses masked, ends kept; null stays null."""
-    out = F.regexp_replace(text, PII["id_card"], "$1***********$2")
+    numbers = F.regexp_replace(text, PII["id_card"], "$1***********$2")
     for n in range(19, 14, -1):  # cards keep their length
-        out = F.regexp_replace(out, rf"(?<![\d*])\d{{{n - 4}}}(\d{{4}})(?!\d)", "*" * (n - 4) + "$1")
-    out = F.regexp_replace(out, PII["phone"], "$1****$2")
-    return F.regexp_replace(out, PII["email"], "$1***$2")
+        numbers = F.regexp_replace(numbers, rf"(?<![\d*])\d{{{n - 4}}}(\d{{4}})(?!\d)", "*" * (n - 4) + "$1")
+    out = F.when(text.rlike("[0-9]{11}"), F.regexp_replace(numbers, PII["phone"], "$1****$2")).otherwise(text)  # most texts have no such number
+    return F.when(text.contains("@"), F.regexp_replace(out, PII["email"], "$1***$2")).otherwise(out)
 
 
 def pii_kinds(text: Column) -> Column:

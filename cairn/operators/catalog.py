@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.runtime import settle
 
-def upsert(base: DataFrame, changes: DataFrame, key: str, kept: tuple[str, ...] = ()) -> DataFrame:
-    """``base`` with the rows of ``changes`` put in by key; columns ``kept`` keep their old value where the
-    new one is null. Both have one row per key; columns only one side has are null on the other."""
-    cols = list(dict.fromkeys([*base.columns, *changes.columns]))
-    b = base.select(F.col(key).alias("__kb"), F.struct(*(base[c] if c in base.columns else F.lit(None).alias(c) for c in cols)).alias("b"))
-    c = changes.select(F.col(key).alias("__kc"), F.struct(*(changes[c] if c in changes.columns else F.lit(None).alias(c) for c in cols)).alias("c"))
+
+def upsert(base: DataFrame, changes: DataFrame, key: str, kept: tuple[str, ...] = (), reset: dict[str, object] | None = None) -> DataFrame:
+    """``base`` with the rows of ``changes`` put in by key; columns ``kept`` keep their old value where the new one is null,
+    and columns of ``reset`` get its value wherever a row is changed or new. Both have one row per key; columns only one
+    side has are null on the other."""
+    cols, reset = list(dict.fromkeys([*base.columns, *changes.columns])), reset or {}
+    kind = {f.name: f.dataType for df in (changes, base) for f in df.schema}
+    b = base.select(F.col(key).alias("__kb"), F.struct(*(base[c] if c in base.columns else F.lit(None).cast(kind[c]).alias(c) for c in cols)).alias("b"))
+    c = changes.select(F.col(key).alias("__kc"), F.struct(*(changes[c] if c in changes.columns else F.lit(None).cast(kind[c]).alias(c) for c in cols)).alias("c"))
     j = b.join(c, F.col("__kb") == F.col("__kc"), "full_outer")
 
     def value(x: str):  # noqa: ANN202
         new = F.coalesce(F.col(f"c.{x}"), F.col(f"b.{x}")) if x in kept else F.col(f"c.{x}")
+        new = F.lit(reset[x]).cast(kind[x]) if x in reset else new
         return F.when(F.col("__kc").isNotNull(), new).otherwise(F.col(f"b.{x}")).alias(x)
 
     return j.select(*map(value, cols))
@@ -30,21 +35,24 @@ def stale(existing: DataFrame, current: DataFrame, key: str) -> DataFrame:
 def resolve(names: DataFrame, files: DataFrame, name: str, file: str, gram: int = 4) -> DataFrame:
     """(name, file, tier): files of exactly that name (tier 0), or if there are none, holding it (tier 1).
 
-    Letter case is ignored. A file can hold a name only if it holds its first ``gram`` characters, so pairs
-    come from an equi-join on those; shorter names meet the files by their own length.
+    Letter case is ignored. Exact names are found by equality. A file can hold a name only if it holds each of its runs
+    of ``gram`` characters (of its own length if that is less), so the others meet the files by the run of theirs that
+    the fewest files hold: a beginning that all names share brings no pairs.
     """
     n = names.select(F.col(name).alias("name")).distinct().filter(F.length("name") > 0).withColumn("ln", F.lower("name"))
-    n = n.withColumn("g", F.substring("ln", 1, gram))
     f = files.select(F.col(file).alias("file")).distinct().filter("file is not null").withColumn("lf", F.lower("file"))
-
-    def of_length(k: int):  # noqa: ANN202
-        starts = F.sequence(F.lit(1), F.greatest(F.length("lf") - k + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(F.col("lf"), i, F.lit(k)))
-
-    grams = F.array_distinct(F.flatten(F.array(*map(of_length, range(1, gram + 1)))))
-    pairs = n.join(f.withColumn("g", F.explode(grams)), "g").filter(F.contains("lf", "ln")).select("name", "file", F.when(F.col("lf") == F.col("ln"), 0).otherwise(1).alias("tier")).distinct()
-    best = F.min("tier").over(Window.partitionBy("name"))
-    return pairs.withColumn("best", best).filter("tier = best").drop("best")
+    exact = settle(n.join(f, n.ln == f.lf).select("name", "file"))
+    rest = settle(n.join(exact.select("name").distinct(), "name", "left_anti"))
+
+    def runs(x: Column, k: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - k + 1, F.lit(1))), lambda i: F.substr(x, i, k)))
+
+    mine = rest.select("name", "ln", F.explode(runs(F.col("ln"), F.least(F.length("ln"), F.lit(gram)))).alias("g"))
+    every = f.select("file", "lf", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.col("lf"), F.lit(k)) for k in range(1, gram + 1)))))).alias("g"))
+    held = every.join(mine.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("files"))
+    rarest = mine.join(held, "g", "left").groupBy("name", "ln").agg(F.min_by("g", F.struct(F.coalesce("files", F.lit(0)), "g")).alias("g"))
+    inner = rarest.join(every, "g").filter(F.contains("lf", "ln")).select("name", "file", F.lit(1).alias("tier"))
+    return exact.select("name", "file", F.lit(0).alias("tier")).unionByName(inner)
 
 
 def listing(documents: DataFrame, keyword: str | None, limit: int = 50) -> DataFrame:

@@ -2,72 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that are screened unless told otherwise.
-SCREENED = 20_000
-# Terms that block a text.
-TERMS = ("制毒", "贩毒", "枪支买卖", "爆炸物制作")
-# Shapes of planted instructions.
-INJECTIONS = (
-    r"(忽略|无视|忘记|绕过)[^\n]{0,12}(以上|之前|上面|先前)[^\n]{0,12}(指令|规则|提示|要求)",
-    r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+(instructions?|prompts?|rules?)",
-    r"(?i)(disregard|forget)\s+(all\s+)?(the\s+)?(previous|above|prior)",
-    r"(system\s*prompt|系统提示词)[^\n]{0,8}(泄露|输出|打印|重复)",
-    r"(?i)you\s+are\s+now\s+(a|an)\s+",
-)
-# What a question that leans on earlier ones looks like.
-LEANS = (
-    "它|他|她|这个|那个|这些|那些|这种|那种|那笔|那单|那款|那台|上述|上面|刚才|之前|上次|该单|该订单|该商品|该产品",
-    "呢[?？!！。~\\s]*$|^(那|那么)",
-    "^(继续|接着|再来|再(说|讲|详细|具体|补充)|详细|还有|换成|改成|为什么|为何|多久|多长|多少|怎么(样|办)?$|可以吗|行吗)",
-)
-# What a message with several questions looks like.
-SEVERAL = "并且|而且|同时|还有|另外|顺便|以及|再问|再帮|另一个|然后|首先|其次|和|还要|第一|第二|第三|第四|几个问题|两个问题|2个问题"
 # Particles and signs that carry no content.
 PARTICLES = r"[它他她这那哪些么的呢吗吧啊呀哦嗯?？!！。，,、;；:：\s]+"
-# Message kinds by rule, first match wins.
-HANDOFF = "转人工|人工客服|人工服务|人工坐席|真人客服|真人处理|找真人|接人工|转接人工|投诉|举报|差评|找专员|专员处理"
-STATUS = "((知识库|库里).{0,6}(有什么|有哪些|多少|几个|文档|文件|资料|状态|情况|初始化).{0,2}$)|^((有哪些|有什么)(文档|文件|资料)(可以查|能用|可用|吗)?$)"
-ABOUT = "^(你是谁|你叫什么|你能做什么|你会什么|你能干什么|你是什么|你在吗)$"
-GREETING = "(?i)^(你好|您好|哈喽|嗨|hello|hi|hey|早上好|中午好|下午好|晚上好|早安|在吗)[,，。!！\\s]*"
-THANKS = "(?i)^(谢谢|感谢|辛苦了|再见|拜拜|晚安|好的|好滴|知道了|明白了|收到|没问题|可以了|哈哈|嘿嘿|嗯|ok|okay)+$"
 
 
-def verdict(text: Column, stage: str, enabled: bool = True, screened: int | None = SCREENED) -> Column:
-    """Category for which a text is refused, null if it is allowed (null, empty, or screening is off).
+def any_of(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether any of the patterns is found in a text; null for null."""
+    return reduce(or_, (text.rlike(p) for p in patterns), F.when(text.isNotNull(), False))
+
 
-    The first ``screened`` characters are looked at, the whole text if None. Planted instructions matter in documents only.
+def verdict(text: Column, terms: Iterable[str], planted: Iterable[str] = (), enabled: bool = True, screened: int | None = None) -> Column:
+    """Category for which a text is refused, null if it is allowed (null, empty, or screening is off): ``blocklist`` if it
+    holds one of the ``terms``, else ``prompt_injection`` if one of the ``planted`` patterns is found, which are to be
+    given for documents only.
+
+    The whole text is looked at, or as many characters as ``screened`` says.
     """
     if not enabled:
         return F.lit(None).cast("string")
     probe = text if screened is None else F.substring(text, 1, screened)
-    blocked = F.lit(False)
-    for t in TERMS:
-        blocked = blocked | probe.contains(t)
-    out = F.when(blocked, "blocklist")
-    if stage == "document":
-        planted = F.lit(False)
-        for p in INJECTIONS:
-            planted = planted | probe.rlike(p)
-        out = out.when(planted, "prompt_injection")
-    return out
-
-
-def first_refusals(parts: DataFrame, doc: str, order: str, text: str = "text") -> DataFrame:
+    blocked = reduce(or_, (probe.contains(t) for t in terms), F.lit(False))
+    return F.when(blocked, "blocklist").when(any_of(probe, planted), "prompt_injection")
+
+
+def checked(category: Column, failed: Column, fail_open: bool) -> Column:
+    """The category after a provider's check that may have failed: then nothing is refused (``fail_open``) or all is."""
+    return F.when(F.coalesce(failed, F.lit(False)), F.lit(None if fail_open else "unavailable").cast("string")).otherwise(category)
+
+
+def first_refusals(parts: DataFrame, doc: str, order: str, category: Column) -> DataFrame:
     """(doc, first, category): documents with a refused part, and the first of them."""
-    bad = parts.withColumn("category", verdict(F.col(text), "document", screened=None)).filter("category is not null")
+    bad = parts.withColumn("category", category).filter("category is not null")
     return bad.groupBy(doc).agg(F.min(order).alias("first"), F.min_by("category", order).alias("category"))
 
 
-def leans_on_history(question: Column, has_history: Column, short: int = 8) -> Column:
+def leans_on_history(question: Column, has_history: Column, refers: Iterable[str], short: int = 8) -> Column:
     """Whether a question needs what was said before: there is something, and it is short or refers to it."""
     q = F.trim(question)
-    refers = F.lit(False)
-    for p in LEANS:
-        refers = refers | q.rlike(p)
-    return F.coalesce((q != "") & has_history & ((F.length(q) <= short) | refers), F.lit(False))
+    return F.coalesce((q != "") & has_history & ((F.length(q) <= short) | any_of(q, refers)), F.lit(False))
 
 
 def accepts_rewrite(question: Column, candidate: Column, keep: float = 0.6) -> Column:
@@ -84,17 +63,19 @@ def accepts_rewrite(question: Column, candidate: Column, keep: float = 0.6) -> C
     return F.coalesce((candidate != "") & fits & codes & ((F.size(src) == 0) | (kept >= keep * F.size(src))), F.lit(False))
 
 
-def asks_several(question: Column) -> Column:
-    """Whether a message may hold several questions."""
+def asks_several(question: Column, joins: Iterable[str], long: int = 50) -> Column:
+    """Whether a message may hold several questions: two question marks, a word that joins them, or its length."""
     marks = F.length(question) - F.length(F.regexp_replace(question, "[?？]", ""))
-    return F.coalesce((marks >= 2) | question.rlike(SEVERAL) | (F.length(question) > 50), F.lit(False))
+    return F.coalesce((marks >= 2) | any_of(question, joins) | (F.length(question) > long), F.lit(False))
 
 
-def kind_by_rule(question: Column) -> Column:
-    """Kind of a message by the first rule that matches, null if none does."""
+def kind_by_rule(question: Column, rules: dict[str, str], greeting: str, idle: str) -> Column:
+    """Kind of a message: that of the first pattern found; ``chitchat`` if nothing is left after a greeting or what is left
+    matches ``idle``; null if neither."""
     q = F.trim(question)
-    rest = F.trim(F.regexp_replace(q, GREETING, ""))
-    return F.when(q.rlike(HANDOFF), "handoff").when(q.rlike(STATUS), "status").when(q.rlike(ABOUT) | (rest == "") | rest.rlike(THANKS), "chitchat")
+    rest = F.trim(F.regexp_replace(q, greeting, ""))
+    out = reduce(lambda c, x: c.when(q.rlike(x[1]), x[0]), rules.items(), F.when(F.lit(False), ""))
+    return out.when((rest == "") | rest.rlike(idle), "chitchat")
 
 
 def unsafe_reasons(name: Column) -> Column:

@@ -137,11 +137,14 @@ def at_ranks(df: DataFrame, label: str, value: str, sought: DataFrame, most: int
     """
     spans = df.groupBy(label).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count("*").alias("__n"))
     want = sought.select(label, "index").distinct()
-    now = settle(_same(want, spans, label).select(label, "index", "__low", "__high", "__n", F.lit(0).cast("bigint").alias("__skip")))
-    while not now.filter((F.col("__n") > most) & (F.col("__low") < F.col("__high"))).isEmpty():
+    zero = F.lit(0).cast("bigint")
+    now = settle(_same(want, spans, label).select(label, "index", "__low", "__high", "__n", zero.alias("__skip"), (F.col("__n") + 1).alias("__was")))
+    # a range that infinite values keep from getting narrower is ordered as it is
+    while not now.filter((F.col("__n") > most) & (F.col("__low") < F.col("__high")) & (F.col("__n") < F.col("__was"))).isEmpty():
         inside = _same(df.select(label, value), now, label).filter(F.col(value).between(F.col("__low"), F.col("__high")))
-        part = F.least(F.floor((F.col(value) - F.col("__low")) / (F.col("__high") - F.col("__low")) * PARTS), F.lit(PARTS - 1))
-        counts = inside.groupBy(label, "index", "__skip", F.coalesce(part, F.lit(0)).alias("part")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count("*").alias("__n"))
+        share = F.try_divide(F.col(value) - F.col("__low"), F.col("__high") - F.col("__low"))
+        part = F.when(F.isnan(share), PARTS - 1).otherwise(F.least(F.floor(share * PARTS), F.lit(PARTS - 1)))
+        counts = inside.withColumn("__was", F.col("__n")).groupBy(label, "index", "__skip", "__was", F.coalesce(part, F.lit(0)).alias("part")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count("*").alias("__n"))
         before = F.coalesce(F.sum("__n").over(Window.partitionBy(label, "index").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("__skip", F.col("__skip") + before)
         now = settle(counts.filter((F.col("index") >= F.col("__skip")) & (F.col("index") < F.col("__skip") + F.col("__n"))).drop("part"))

@@ -110,6 +110,7 @@ def outline(df: DataFrame, doc: str, path: str, order: str, limit: int = 20) ->
 
 
 # Splitting is stateful string work; it runs in Arrow batches on the tasks.
+# Separators from the strongest to the weakest.
 _LADDER = ("\n\n", "\n", "。", "！", "？", "；", "，", "、", " ", "")
 
 

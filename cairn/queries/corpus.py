@@ -87,7 +87,8 @@ def stale_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = table(spark, sf_dir, "documents").filter("parsed_status = 'ok'").select(F.col("doc_ref").alias("doc_id"))
+    """Blocks that a new split would not keep: their document is not published or was split by another version."""
+    current = table(spark, sf_dir, "documents").filter("status = 'published' and chunk_schema_ver = 's3'").select(F.col("doc_ref").alias("doc_id"))
     return catalog.stale(_blocks(spark, sf_dir, "doc_id"), current, "doc_id").select("parent_id", "doc_id")
 
 
@@ -106,9 +107,13 @@ def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "chunk_count", "owner_id")
-    changes = d.filter("doc_id % 3 = 0").withColumn("chunk_count", F.col("chunk_count") + 1).withColumn("owner_id", F.when(F.col("doc_id") % 2 == 0, F.col("owner_id")))
-    return catalog.upsert(d.filter("doc_id % 2 = 0"), changes, "doc_id", kept=("owner_id",))
+    """The catalogue with what the blocks say now: files with blocks are drafts again with their number of blocks, and of
+    the sections' files those not known yet are new."""
+    d = table(spark, sf_dir, "documents").filter("doc_ref is not null and parsed_status <> 'pending'").select(F.col("doc_ref").alias("doc_id"), "source", "chunk_count", "owner_id", "status")
+    blocks = table(spark, sf_dir, "parents").select("doc_id", F.col("parent_id").alias("unit")).unionByName(table(spark, sf_dir, "sections").select("doc_id", F.col("section_id").alias("unit")))
+    held = blocks.filter("doc_id is not null and unit is not null").distinct().groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    changes = held.select("doc_id", "chunk_count", F.lit(None).cast("string").alias("owner_id"))
+    return catalog.upsert(d, changes, "doc_id", kept=("owner_id", "source"), reset={"status": "draft"})
 
 
 def schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,27 +123,50 @@ def schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unsafe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "documents").select(F.explode(screening.unsafe_reasons(F.col("filename"))).alias("reason"))
+    """Reasons to refuse file names, of which five in seven are made bad here, each in another way."""
+    n, name = F.col("doc_id") % 7, F.col("filename")
+    bad = F.when(n == 0, F.concat(F.lit("a/"), name)).when(n == 1, F.concat(F.lit("C:"), name)).when(n == 2, F.concat(name, F.lit(" "))).when(n == 3, "LPT1.txt").when(n == 4, F.repeat(name, 9)).otherwise(name)
+    r = table(spark, sf_dir, "documents").select(F.explode(screening.unsafe_reasons(bad)).alias("reason"))
     return r.groupBy("reason").agg(F.count("*").alias("files"))
 
 
+def _with_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with numbers and addresses of persons put in, which the tables do not have."""
+    n = F.col("doc_id")
+    number = F.format_string("%017d", n * 7919)
+    put = F.when(n % 6 == 0, F.concat(number, F.lit("X"))).when(n % 6 == 1, F.concat(F.lit("62"), F.right(number, F.lit(14)))).when(n % 6 == 2, F.concat(F.lit("138"), F.right(number, F.lit(8))))
+    put = put.when(n % 6 == 3, F.format_string("agent.%d@example.org", n)).when(n % 6 == 4, F.concat(number, F.lit("12"))).otherwise("1234567890")
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat(put, F.lit(" "), F.coalesce("text", F.lit("")), F.lit(" ("), put, F.lit(")")))
+
+
 def pii_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.pii_masked(F.col("text"))).alias("masked"))
+    return _with_pii(spark, sf_dir).select("doc_id", F.md5(tx.pii_masked(F.col("text"))).alias("masked"))
 
 
 def pii_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "documents").select("source", F.explode(tx.pii_kinds(F.col("text"))).alias("kind"))
+    k = _with_pii(spark, sf_dir).select("source", F.explode(tx.pii_kinds(F.col("text"))).alias("kind"))
     return k.groupBy("source", "kind").agg(F.count("*").alias("documents"))
 
 
+#: Terms and patterns for which texts are refused here, and what tells messages apart.
+TERMS, PLANTED = ("密封圈", "door sensor", "Schwimmerventil"), (r"请(立即|务必)[^。]{0,12}(复位|屏蔽)", r"(?i)before you (shield|unbind)")
+REFERS, JOINS = ("这个|那个|上次|刚才", "(?i)^(and|then|so) "), ("另外|还有|顺便|以及", "(?i) and also | sowie ")
+KINDS = {"order": "(?i)(ORD|WO|SN)[- ]?[0-9A-F]", "repair": "坏了|(?i)broken|defekt"}
+GREETING, IDLE = "(?i)^(你好|您好|hello|hi|hallo)[,，。!！\\s]*", "(?i)^(谢谢|thanks|danke|ok|好的)+[!！。]*$"
+
+
+def _refused(text: str = "text"):  # noqa: ANN202
+    return screening.verdict(F.col(text), TERMS, PLANTED)
+
+
 def moderation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", screening.verdict(F.col("text"), "document", screened=None).alias("category"))
+    d = table(spark, sf_dir, "documents").select("doc_id", _refused().alias("category"))
     return d.groupBy("category").agg(F.count("*").alias("documents"))
 
 
 def doc_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _blocks(spark, sf_dir, "doc_id", "order_idx", "text")
-    bad = screening.first_refusals(p, "doc_id", "order_idx")
+    bad = screening.first_refusals(p, "doc_id", "order_idx", _refused())
     return p.select("doc_id").distinct().join(bad, "doc_id", "left").select("doc_id", F.col("category").isNotNull().alias("rejected"))
 
 
@@ -150,7 +178,7 @@ def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Window]:
 def rewrite_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, w = _asked(spark, sf_dir)
     c = c.withColumn("nth", F.row_number().over(w))
-    return c.select("request_id", screening.leans_on_history(F.col("question"), F.col("nth") > 1).alias("gate"))
+    return c.select("request_id", screening.leans_on_history(F.col("question"), F.col("nth") > 1, REFERS).alias("gate"))
 
 
 def rewrite_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +189,7 @@ def rewrite_accepts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def divide_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, _ = _asked(spark, sf_dir)
-    return c.select("request_id", screening.asks_several(F.col("question")).alias("several"))
+    return c.select("request_id", screening.asks_several(F.col("question"), JOINS).alias("several"))
 
 
 def history_last8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +202,7 @@ def history_last8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "chat_requests").select("request_id", "question").distinct()
-    return c.groupBy(screening.kind_by_rule(F.col("question")).alias("kind")).agg(F.count("*").alias("requests"))
+    return c.groupBy(screening.kind_by_rule(F.col("question"), KINDS, GREETING, IDLE).alias("kind")).agg(F.count("*").alias("requests"))
 
 
 def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,10 +254,12 @@ _KINDS = {
     "phone": r"(^|[^0-9])1[3-9][0-9]{9}($|[^0-9])",
     "email": r"[A-Za-z0-9._%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
 }
-_REFUSED = (
-    "CASE WHEN " + " OR ".join(f"contains(left(text, 20000), '{t}')" for t in screening.TERMS) + " THEN 'blocklist' WHEN " + " OR ".join(f"regexp_matches(left(text, 20000), '{p}')" for p in screening.INJECTIONS) + " THEN 'prompt_injection' END"
-)
-_CONTENT = "list_distinct(list_filter(string_split(regexp_replace({}, '" + screening.PARTICLES + "', '', 'g'), ''), lambda x: x <> ''))"
+_REFUSED = r"CASE WHEN contains(text, '密封圈') OR contains(text, 'door sensor') OR contains(text, 'Schwimmerventil') THEN 'blocklist' WHEN regexp_matches(text, '请(立即|务必)[^。]{0,12}(复位|屏蔽)') OR regexp_matches(text, '(?i)before you (shield|unbind)') THEN 'prompt_injection' END"
+_PUT = """CASE doc_id % 6 WHEN 0 THEN lpad((doc_id * 7919)::varchar, 17, '0') || 'X' WHEN 1 THEN '62' || right(lpad((doc_id * 7919)::varchar, 17, '0'), 14) WHEN 2 THEN '138' || right(lpad((doc_id * 7919)::varchar, 17, '0'), 8)
+  WHEN 3 THEN 'agent.' || doc_id || '@example.org' WHEN 4 THEN lpad((doc_id * 7919)::varchar, 17, '0') || '12' ELSE '1234567890' END"""
+_PII = f"pd AS (SELECT doc_id, source, {_PUT} || ' ' || coalesce(text, '') || ' (' || {_PUT} || ')' AS text FROM documents)"
+_BAD = "CASE doc_id % 7 WHEN 0 THEN 'a/' || filename WHEN 1 THEN 'C:' || filename WHEN 2 THEN filename || ' ' WHEN 3 THEN 'LPT1.txt' WHEN 4 THEN repeat(filename, 9) ELSE filename END"
+_CONTENT = "list_distinct(list_filter(string_split(regexp_replace({}, '" + r"[它他她这那哪些么的呢吗吧啊呀哦嗯?？!！。，,、;；:：\s]+" + "', '', 'g'), ''), lambda x: x <> ''))"
 
 SQL = {
     "repeated_lines": f"""WITH {_LINES}, t AS (SELECT doc_id, count(DISTINCT page_start) AS total FROM b WHERE page_start IS NOT NULL GROUP BY 1 HAVING count(DISTINCT page_start) >= 4),
@@ -256,28 +286,30 @@ SQL = {
     "acl_visible_counts": "SELECT u.user_id, count(d.doc_id)::bigint AS documents FROM (SELECT DISTINCT user_id, tenant_id FROM users WHERE user_id IS NOT NULL) u LEFT JOIN documents d ON d.status = 'published' AND (d.visibility = 'public' OR (d.visibility = 'tenant' AND d.tenant_id = u.tenant_id) OR (d.visibility = 'private' AND d.owner_id = u.user_id)) GROUP BY 1",
     "acl_legacy_sources": "SELECT source, sum(CASE WHEN status IS NULL OR visibility IS NULL OR tenant_id IS NULL THEN 1 ELSE 0 END)::bigint AS legacy, count(*)::bigint AS documents FROM documents GROUP BY 1",
     "stale_schema": "SELECT doc_id, chunk_schema_ver FROM documents WHERE chunk_schema_ver IS DISTINCT FROM 's3'",
-    "stale_chunks": f"WITH {_B} SELECT parent_id, doc_id FROM b WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_ref FROM documents WHERE parsed_status = 'ok' AND doc_ref IS NOT NULL)",
+    "stale_chunks": f"WITH {_B} SELECT parent_id, doc_id FROM b WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_ref FROM documents WHERE status = 'published' AND chunk_schema_ver = 's3' AND doc_ref IS NOT NULL)",
     "consistency_report": "SELECT coalesce(d.doc_ref, p.doc_id) AS doc_id, d.parent_count::bigint AS said, p.held FROM documents d FULL JOIN (SELECT doc_id, count(DISTINCT parent_id)::bigint AS held FROM parents WHERE doc_id IS NOT NULL GROUP BY 1) p ON p.doc_id = d.doc_ref WHERE coalesce(parent_count, 0) <> coalesce(held, 0)",
     "doc_resolve": """WITH n AS (SELECT DISTINCT CASE WHEN doc_id % 40 = 0 THEN upper(filename) ELSE regexp_extract(filename, '^([^_]+)_', 1) END AS name FROM documents WHERE doc_id % 20 = 0),
         p AS (SELECT DISTINCT name, filename AS file, CASE WHEN lower(filename) = lower(name) THEN 0 ELSE 1 END::int AS tier FROM n JOIN documents ON contains(lower(filename), lower(name)) WHERE name <> '')
         SELECT name, file, tier FROM (SELECT *, min(tier) OVER (PARTITION BY name) AS best FROM p) WHERE tier = best""",
     "list_documents": "SELECT parsed, nth, doc_id, filename FROM (SELECT *, row_number() OVER (PARTITION BY parsed ORDER BY filename, doc_id)::int AS nth FROM (SELECT coalesce(parsed_status = 'ok', false) AS parsed, doc_id, filename FROM documents WHERE contains(lower(filename), 'pro'))) WHERE nth <= 50",
-    "upsert_documents": "SELECT doc_id, source, CASE WHEN doc_id % 3 = 0 THEN chunk_count + 1 ELSE chunk_count END::int AS chunk_count, CASE WHEN doc_id % 2 = 0 THEN owner_id END AS owner_id FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0",
+    "upsert_documents": """WITH h AS (SELECT doc_id, count(DISTINCT unit)::int AS n FROM (SELECT doc_id, parent_id AS unit FROM parents UNION ALL SELECT doc_id, section_id FROM sections) WHERE doc_id IS NOT NULL AND unit IS NOT NULL GROUP BY 1)
+        SELECT coalesce(h.doc_id, d.doc_ref) AS doc_id, d.source, CASE WHEN h.doc_id IS NULL THEN d.chunk_count ELSE n END::int AS chunk_count, d.owner_id, CASE WHEN h.doc_id IS NULL THEN d.status ELSE 'draft' END AS status
+        FROM (SELECT * FROM documents WHERE doc_ref IS NOT NULL AND parsed_status <> 'pending') d FULL JOIN h ON h.doc_id = d.doc_ref""",
     "schema_union": f"WITH {_B} SELECT parent_id AS id, doc_id, order_idx, NULL::varchar AS kind FROM b UNION ALL SELECT section_id, doc_id, NULL, kind FROM (SELECT DISTINCT section_id, doc_id, kind FROM sections)",
-    "unsafe_names": r"""WITH r AS (SELECT unnest([CASE WHEN filename IS NULL OR trim(filename) = '' THEN 'empty' END, CASE WHEN regexp_matches(filename, '[/\\]') THEN 'separator' END, CASE WHEN contains(filename, ':') THEN 'colon' END, CASE WHEN regexp_matches(filename, '[. ]$') THEN 'edge' END,
-        CASE WHEN regexp_matches(regexp_replace(filename, '\.[^.]*$', ''), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN 'device' END, CASE WHEN regexp_matches(filename, '[\x00-\x1f<>"|?*]') THEN 'character' END, CASE WHEN strlen(filename) > 255 THEN 'length' END]) AS reason FROM documents)
+    "unsafe_names": "WITH nm AS (SELECT " + _BAD + r""" AS filename FROM documents), r AS (SELECT unnest([CASE WHEN filename IS NULL OR trim(filename) = '' THEN 'empty' END, CASE WHEN regexp_matches(filename, '[/\\]') THEN 'separator' END, CASE WHEN contains(filename, ':') THEN 'colon' END, CASE WHEN regexp_matches(filename, '[. ]$') THEN 'edge' END,
+        CASE WHEN regexp_matches(regexp_replace(filename, '\.[^.]*$', ''), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN 'device' END, CASE WHEN regexp_matches(filename, '[\x00-\x1f<>"|?*]') THEN 'character' END, CASE WHEN strlen(filename) > 255 THEN 'length' END]) AS reason FROM nm)
         SELECT reason, count(*)::bigint AS files FROM r WHERE reason IS NOT NULL GROUP BY 1""",
-    "pii_masked": f"SELECT doc_id, md5({_MASK}) AS masked FROM documents",
-    "pii_kinds": "SELECT source, kind, count(*)::bigint AS documents FROM (SELECT source, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in _KINDS.items()) + "]) AS kind FROM documents) WHERE kind IS NOT NULL GROUP BY 1, 2",
+    "pii_masked": f"WITH {_PII} SELECT doc_id, md5({_MASK}) AS masked FROM pd",
+    "pii_kinds": f"WITH {_PII} SELECT source, kind, count(*)::bigint AS documents FROM (SELECT source, unnest([" + ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in _KINDS.items()) + "]) AS kind FROM pd) WHERE kind IS NOT NULL GROUP BY 1, 2",
     "moderation_verdicts": f"SELECT {_REFUSED} AS category, count(*)::bigint AS documents FROM documents GROUP BY 1",
     "doc_reject": f"WITH {_B} SELECT doc_id, max(CASE WHEN ({_REFUSED}) IS NULL THEN 0 ELSE 1 END) = 1 AS rejected FROM b GROUP BY 1",
-    "rewrite_gate": f"WITH {_C}, n AS (SELECT *, trim(question) AS q, row_number() OVER ({_ORDER}) AS nth FROM c) SELECT request_id, q <> '' AND nth > 1 AND (length(q) <= 8 OR " + " OR ".join(f"regexp_matches(q, '{p}')" for p in screening.LEANS) + ") AS gate FROM n",
+    "rewrite_gate": f"WITH {_C}, n AS (SELECT *, trim(question) AS q, row_number() OVER ({_ORDER}) AS nth FROM c) SELECT request_id, q <> '' AND nth > 1 AND (length(q) <= 8 OR regexp_matches(q, '这个|那个|上次|刚才') OR regexp_matches(q, '(?i)^(and|then|so) ')) AS gate FROM n",
     "rewrite_accepts": f"""WITH {_C}, n AS (SELECT *, lead(question) OVER ({_ORDER}) AS candidate FROM c), m AS (SELECT *, {_CONTENT.format("question")} AS src, {_CONTENT.format("candidate")} AS dst FROM n WHERE candidate IS NOT NULL)
         SELECT request_id, candidate <> '' AND length(candidate) <= 3 * length(question) + 50 AND len(list_filter(regexp_extract_all(question, '[A-Za-z0-9]+'), lambda t: NOT contains(lower(candidate), lower(t)))) = 0
         AND (len(src) = 0 OR len(list_intersect(src, dst)) >= 0.6::double * len(src)) AS accepted FROM m""",
-    "divide_gate": f"WITH {_C} SELECT request_id, length(question) - length(regexp_replace(question, '[?？]', '', 'g')) >= 2 OR regexp_matches(question, '{screening.SEVERAL}') OR length(question) > 50 AS several FROM c",
+    "divide_gate": f"WITH {_C} SELECT request_id, length(question) - length(regexp_replace(question, '[?？]', '', 'g')) >= 2 OR regexp_matches(question, '另外|还有|顺便|以及') OR regexp_matches(question, '(?i) and also | sowie ') OR length(question) > 50 AS several FROM c",
     "history_last8": f"WITH {_C}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY asked_at DESC NULLS LAST, request_id DESC) AS back FROM c) SELECT session_id, string_agg(CASE WHEN length(question) > 30 THEN substr(question, 1, 30) || '…' ELSE question END, chr(10) ORDER BY back DESC) AS history FROM k WHERE back <= 8 GROUP BY 1",
-    "intent_rules": f"""WITH c AS (SELECT DISTINCT request_id, question, trim(question) AS q FROM chat_requests), r AS (SELECT *, trim(regexp_replace(q, '{screening.GREETING}', '')) AS rest FROM c)
-        SELECT CASE WHEN regexp_matches(q, '{screening.HANDOFF}') THEN 'handoff' WHEN regexp_matches(q, '{screening.STATUS}') THEN 'status' WHEN regexp_matches(q, '{screening.ABOUT}') OR rest = '' OR regexp_matches(rest, '{screening.THANKS}') THEN 'chitchat' END AS kind, count(*)::bigint AS requests FROM r GROUP BY 1""",
+    "intent_rules": r"""WITH c AS (SELECT DISTINCT request_id, question, trim(question) AS q FROM chat_requests), r AS (SELECT *, trim(regexp_replace(q, '(?i)^(你好|您好|hello|hi|hallo)[,，。!！\s]*', '')) AS rest FROM c)
+        SELECT CASE WHEN regexp_matches(q, '(?i)(ORD|WO|SN)[- ]?[0-9A-F]') THEN 'order' WHEN regexp_matches(q, '坏了|(?i)broken|defekt') THEN 'repair' WHEN rest = '' OR regexp_matches(rest, '(?i)^(谢谢|thanks|danke|ok|好的)+[!！。]*$') THEN 'chitchat' END AS kind, count(*)::bigint AS requests FROM r GROUP BY 1""",
     "session_gaps": f"WITH {_C} SELECT request_id, epoch_us(asked_at) - epoch_us(lag(asked_at) OVER ({_ORDER})) AS gap_us FROM c",
 }

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SECTION = "path string, order int, kind string, section_path array<string>, text string, error string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _X = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-#: Data rows of a worksheet that are read.
+#: Data rows of a worksheet that make one section.
 SHEET_ROWS = 5000
 
 
@@ -74,8 +74,9 @@ def docx_sections(data: bytes) -> list[tuple[str, list[str], str]]:
 
 
 def xlsx_sections(data: bytes, most: int = SHEET_ROWS) -> list[tuple[str, list[str], str]]:
-    """(kind, [sheet], table) of every sheet: stored values, blank rows and trailing blank cells left out, the
-    width that of the header, at most ``most`` data rows."""
+    """(kind, [sheet, rows], table) of every sheet: stored values, blank rows and trailing blank cells left out, every row as
+    wide as the widest. Sheets of more than ``most`` data rows give several tables, each under the header. ``rows``
+    names the first and last row of a table as the sheet numbers them."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
         shared = []
@@ -85,8 +86,8 @@ def xlsx_sections(data: bytes, most: int = SHEET_ROWS) -> list[tuple[str, list[s
         sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
         out = []
         for title, name in zip(titles, sheets, strict=False):
-            rows = []
-            for r in ElementTree.fromstring(z.read(name)).iter(f"{_X}row"):
+            rows: list[tuple[int, list[str]]] = []
+            for nth, r in enumerate(ElementTree.fromstring(z.read(name)).iter(f"{_X}row"), 1):
                 cells: list[str] = []
                 for c in r.iter(f"{_X}c"):
                     col = 0
@@ -101,13 +102,14 @@ def xlsx_sections(data: bytes, most: int = SHEET_ROWS) -> list[tuple[str, list[s
                 while cells and not cells[-1]:
                     cells.pop()
                 if cells:
-                    rows.append(cells)
-                if len(rows) > most:
-                    break
+                    rows.append((int(r.get("r") or nth), cells))
             if rows:
-                width = len(rows[0])
-                lines = ["| " + " | ".join((r + [""] * width)[:width]) + " |" for r in rows]
-                out.append(("table", [title], "\n".join([lines[0], "|" + "---|" * width, *lines[1:]])))
+                width = max(len(r) for _, r in rows)
+                head, *lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for _, r in rows]
+                for first in range(0, max(1, len(lines)), most):
+                    part, numbers = lines[first : first + most], [n for n, _ in rows[1:]][first : first + most]
+                    where = [title, f"{numbers[0]}-{numbers[-1]}"] if numbers else [title]
+                    out.append(("table", where, "\n".join([head, "|" + "---|" * width, *part])))
     return out
 
 

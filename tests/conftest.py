@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "4g")
         .config("spark.local.dir", str(local))
         .config("spark.sql.warehouse.dir", str(local / "warehouse"))
