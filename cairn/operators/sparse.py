@@ -123,7 +123,7 @@ def _search(questions: Questions):  # noqa: ANN202
                 filled = np.flatnonzero(np.diff(starts))
                 if len(filled):
                     most[filled] = np.maximum.reduceat(part, starts[filled])
-                seen, name = q.seen_by(batch), [batch.column(c) for c in ("id", "doc_id", "source")]
+                seen, name = q.seen_by(batch), [batch.column(c).to_pylist() for c in ("id", "doc_id", "source")]
                 for i, (of, weight) in enumerate(zip(q.of, q.weights, strict=True)):
                     n = starts[of + 1] - starts[of]
                     by_score, by_overlap = best[i]
@@ -138,7 +138,7 @@ def _search(questions: Questions):  # noqa: ANN202
 
                     def describe(j: int, value=value, share=share, held=held, name=name) -> tuple:  # noqa: ANN001
                         k = int(held[j])
-                        return name[0][k].as_py(), name[1][k].as_py(), name[2][k].as_py(), float(value[j]), float(share[j])
+                        return name[0][k], name[1][k], name[2][k], float(value[j]), float(share[j])
 
                     every = np.arange(len(held))
                     by_score.add(value, every, describe)
