@@ -182,12 +182,14 @@ def reading_pairs(df: DataFrame, key: str, text: str, table: dict[str, str]) ->
     text are never compared with one another.
     """
     rows = df.select(df[key].alias("key"), df[text].alias("text")).filter("key is not null and length(text) > 0")
-    rows = canonical(rows, "text", table).select("key", F.xxhash64("canonical").alias("form"), F.xxhash64("text").alias("spelt"))
+    # forms go by 128 bits of hashes, spellings by 64 within a form
+    form = (F.xxhash64("canonical").alias("form"), F.xxhash64(F.lit(5), "canonical").alias("form2"))
+    rows = canonical(rows, "text", table).select("key", *form, F.xxhash64("text").alias("spelt"))
     rows = rows.distinct()
-    spellings = rows.select("form", "spelt").distinct()
+    spellings = rows.select("form", "form2", "spelt").distinct()
     a, b = spellings.withColumnRenamed("spelt", "spelt_a"), spellings.withColumnRenamed("spelt", "spelt_b")
-    pairs = a.join(b, "form").filter("spelt_a < spelt_b").select("spelt_a", "spelt_b")
-    left = rows.select(F.col("key").alias("k1"), F.col("spelt").alias("spelt_a"))
-    right = rows.select(F.col("key").alias("k2"), F.col("spelt").alias("spelt_b"))
-    both = pairs.join(left, "spelt_a").join(right, "spelt_b").filter("k1 <> k2")
+    pairs = a.join(b, ["form", "form2"]).filter("spelt_a < spelt_b")
+    left = rows.select(F.col("key").alias("k1"), "form", "form2", F.col("spelt").alias("spelt_a"))
+    right = rows.select(F.col("key").alias("k2"), "form", "form2", F.col("spelt").alias("spelt_b"))
+    both = pairs.join(left, ["form", "form2", "spelt_a"]).join(right, ["form", "form2", "spelt_b"]).filter("k1 <> k2")
     return both.select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b")).distinct()

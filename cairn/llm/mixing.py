@@ -26,9 +26,9 @@ def sized_texts(documents: DataFrame, targets: DataFrame, seed: int = 17, direct
     empty texts, and rows of other or null sources, have nothing to give and are left out.
     """
     wanted = documents.join(targets.select("source").distinct(), "source", "left_semi")
-    wanted = wanted.filter(F.length("text") > 0).withColumn("__copy", F.xxhash64("text"))
-    counted = count_tokens(wanted, "text", ["source", "doc_id", "__copy"], directory)
-    once = counted.groupBy("source", "__copy", "n_tokens").agg(F.min("doc_id").alias("doc_id"))
+    wanted = wanted.filter(F.length("text") > 0).withColumn("__copy", F.xxhash64("text")).withColumn("__copy2", F.xxhash64(F.lit(5), "text"))  # 128 bits
+    counted = count_tokens(wanted, "text", ["source", "doc_id", "__copy", "__copy2"], directory)
+    once = counted.groupBy("source", "__copy", "__copy2", "n_tokens").agg(F.min("doc_id").alias("doc_id"))
     return once.select("source", "doc_id", "n_tokens", F.xxhash64(F.lit(seed), "doc_id").alias("key"))
 
 

@@ -5,11 +5,14 @@ word of a scanned page, kept as bit vectors of its states, is run over the vocab
 word within the distance; candidates are ranked by how often they stand beside the neighbouring words, by
 confusable shapes, distance and frequency. In scripts
 without blanks the vocabulary is one of character pairs, and a misread character is one whose pairs are
-unknown while another fits between its neighbours. Then page furniture (running titles, page numbers) is
-removed, cut words are joined and the lines are reflowed into paragraphs.
-
-Spark counts the vocabulary and runs over the pages. What is sent to the tasks holds entries of at least a
-fixed share of all occurrences only, so that its size is bounded by 1 / ``LEAST_SHARE`` entries at any scale.
+unknown while another fits between its neighbours. Then page furniture is removed: page numbers, and running titles,
+which are told by the file's name and by lines that come again at the top or bottom of a file's pages. Cut words are
+joined and the lines are reflowed into paragraphs.
+
+Spark counts the vocabulary and the lines that come again, and runs over the pages. What is sent to the tasks holds
+entries of at least a fixed share of all occurrences only, so that its size is bounded by 1 / ``LEAST_SHARE`` entries of
+a kind at any scale; the trie is sent as arrays, one number of each kind for a node, and answers that are kept for
+words seen again are dropped beyond ``KEPT``.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Entries below this share of all words (pairs, characters, forms) are not known.
@@ -33,8 +36,13 @@ FORM_SHARE = 5e-4
 EDIT_COST = 3.0
 #: Marks with which a word can be cut at the end of a line. Fixed values.
 CUT_MARKS = "-\u00ad\u2010\u2011\u00ac"
-#: Longest line of a scanned page, in characters.
-WIDEST = 82
+#: Width of a scanned page in characters, and the share of its lines that may be wider.
+WIDEST, WIDER = 82, 0.05
+#: Lines at the top and at the bottom of a page that may be furniture; a line is if it comes again on so many pages of a
+#: file, and on this share of them.
+EDGE, AGAIN, AGAIN_SHARE = 2, 3, 0.3
+#: Answers that a task keeps for words and pairs it has seen.
+KEPT = 200_000
 _WORD = re.compile(r"[^\W\d_]+(?:[-'\u2019][^\W\d_]+)*")
 _CODE = re.compile(r"[A-Za-z0-9]+(?:[-.][A-Za-z0-9]+)*")
 _ENDS = "\u3002\uff0e.!?\uff01\uff1f;\uff1b:\uff1a|\u201d\u2026"
@@ -73,9 +81,9 @@ def is_wide(c: str) -> bool:
 def looks_scanned(text: str) -> bool:
     """Whether the lines are broken at a page's width: short, many, and mostly in mid-sentence."""
     rows = [x for x in text.split("\n") if x.strip()]
-    if len(rows) < 4 or max(map(len, rows)) > WIDEST or sum(x.startswith("|") for x in rows) > 0.3 * len(rows):
+    if len(rows) < 4 or sum(len(x) > WIDEST for x in rows) > WIDER * len(rows) or sum(x.startswith("|") for x in rows) > 0.3 * len(rows):
         return False
-    widest = max(map(len, rows))
+    widest = max(len(x) for x in rows if len(x) <= WIDEST)
     full = [x for x in rows if len(x) >= 0.72 * widest]
     inner = sum(x.rstrip()[-1] not in _ENDS for x in full)
     return len(full) >= 3 and 2 * len(full) >= len(rows) and inner >= 0.5 * len(full)
@@ -87,7 +95,7 @@ def _plain(s: str) -> str:
 
 def is_page_number(line: str) -> bool:
     s = unicodedata.normalize("NFKC", line).strip()
-    if len(s) > 24 or not s or not _PAGE_NO.match(s):
+    if not s or not _PAGE_NO.match(s):
         return False
     words = re.findall(r"[^\W\d_]{4,}", s)
     return all(any(near(w.lower(), p, 1) for p in _PAGE_WORDS) or re.fullmatch("[ivxlcIVXLC]+", w) for w in words)
@@ -113,7 +121,7 @@ def titles(file_name: str | None) -> list[str]:
 def is_title(line: str, candidates: list[str]) -> bool:
     """Whether a line is a running title, with misread characters, a service name or a page number."""
     s = _plain(line)
-    if len(s) < 6 or len(line) > 70:
+    if len(s) < 6:
         return False
     for t in candidates:
         most = 1 + (len(t) >= 10)
@@ -153,9 +161,40 @@ def _wide_at(cp: np.ndarray) -> np.ndarray:
     return ((cp >= 0x2E80) & (cp <= 0x2FFF)) | ((cp >= 0x3040) & (cp <= 0x9FFF)) | ((cp >= 0xF900) & (cp <= 0xFAFF))
 
 
+@dataclass(frozen=True)
+class Trie:
+    """Words as arrays: the children of node k are the nodes ``first[k]`` to ``first[k + 1]``, each with its character and
+    the count of the word that ends there, or 0. Node 0 is the root; nodes are numbered level by level."""
+
+    first: np.ndarray
+    char: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def of(words: dict[str, int]) -> Trie:
+        live = sorted(w for w in words if w)
+        parent, depth, nodes = np.zeros(len(live), np.int64), 0, 1
+        children, char, count = [np.zeros(0, np.int64)], [np.zeros(1, np.uint32)], [np.zeros(1, np.int64)]
+        while live:
+            c = np.fromiter((ord(w[depth]) for w in live), np.uint32, len(live))
+            new = np.r_[True, (parent[1:] != parent[:-1]) | (c[1:] != c[:-1])]
+            node = nodes + np.cumsum(new) - 1
+            ends = np.fromiter((len(w) == depth + 1 for w in live), bool, len(live))
+            n = np.zeros(int(new.sum()), np.int64)
+            n[node[ends] - nodes] = [words[w] for w, e in zip(live, ends.tolist(), strict=True) if e]
+            children.append(parent[new])
+            char.append(c[new])
+            count.append(n)
+            nodes, depth = nodes + len(n), depth + 1
+            live, parent = [w for w, e in zip(live, ends.tolist(), strict=True) if not e], node[~ends]
+        parents = np.concatenate(children)  # of node 1 onwards, in order
+        first = 1 + np.searchsorted(parents, np.arange(nodes + 1))
+        return Trie(first.astype(np.int32), np.concatenate(char), np.concatenate(count))
+
+
 @dataclass
 class Vocabulary:
-    """What is known of clean text; ``trie`` nodes map a character to (node, word count or 0)."""
+    """What is known of clean text."""
 
     words: dict[str, int]
     forms: set[str]
@@ -163,19 +202,15 @@ class Vocabulary:
     pairs: np.ndarray  # sorted keys first << 32 | second
     pair_counts: np.ndarray
     models: dict[str, set[str]] = field(default_factory=dict)  # by form, of forms whose tokens are few and frequent
-    trie: dict = field(default_factory=dict)
+    trie: Trie | None = None
     by_right: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     follows: dict[str, int] = field(default_factory=dict)  # "word next"
     memo: dict = field(default_factory=dict)
     memo_pair: dict = field(default_factory=dict)
 
     def prepare(self) -> Vocabulary:
-        if not self.trie and self.words:
-            for w, n in self.words.items():
-                node = self.trie
-                for c in w:
-                    node = node.setdefault(c, {})
-                node[""] = n
+        self.trie = self.trie or Trie.of(self.words)
+        if not self.by_right:
             for key, n in zip(self.pairs.tolist(), self.pair_counts.tolist(), strict=True):
                 self.by_right.setdefault(key & 0xFFFFFFFF, []).append((key >> 32, n))
         return self
@@ -195,16 +230,12 @@ class Vocabulary:
         for _ in range(most + 1):
             start.append(state)
             state |= state << 1 & full
-        found, stack = [], [(self.trie, "", tuple(start))]
+        first, char, count = (memoryview(x) for x in (self.trie.first, self.trie.char, self.trie.count))
+        found, stack = [], [(0, "", tuple(start))]
         while stack:
             node, prefix, states = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    for k, s in enumerate(states):
-                        if s & end:
-                            found.append((prefix, k, child))
-                            break
-                    continue
+            for child in range(first[node], first[node + 1]):
+                c = chr(char[child])
                 hit, new, before, before_new = at.get(c, 0), [], 0, 0
                 for s in states:
                     t = s << 1 & hit
@@ -213,6 +244,11 @@ class Vocabulary:
                     new.append(t)
                     before, before_new = s, t
                 if any(new):
+                    if count[child]:
+                        for k, s in enumerate(new):
+                            if s & end:
+                                found.append((prefix + c, k, count[child]))
+                                break
                     stack.append((child, prefix + c, tuple(new)))
         return found
 
@@ -221,7 +257,9 @@ class Vocabulary:
         and those within two that one confusion explains."""
         if word not in self.memo:
             found = []
-            if 3 <= len(word) <= 40:
+            if len(self.memo) >= KEPT:
+                self.memo.clear()
+            if len(word) >= 3:
                 found = [(w, 0 if _one_confusion(word, w) else EDIT_COST, n) for w, distance, n in self.within(word, 1) if distance]
                 if len(word) >= 5:
                     have = {x[0] for x in found} | {word}
@@ -260,6 +298,8 @@ class Vocabulary:
         at = (left, right)
         if at not in self.memo_pair:
             best, total = (0, 0), 0
+            if len(self.memo_pair) >= KEPT:
+                self.memo_pair.clear()
             for c, n in self.by_right.get(right, ()):
                 total += n
                 if is_wide(chr(c)) and (m := self.count(left, c)):
@@ -304,10 +344,12 @@ def _one_confusion(seen: str, meant: str) -> bool:
 class Page:
     """A record's lines with what is wrong with each."""
 
-    def __init__(self, text: str, candidates: list[str], voc: Vocabulary):
+    def __init__(self, text: str, candidates: list[str], voc: Vocabulary, again: Iterable[str] = ()):
         self.lines, self.voc = text.split("\n"), voc
         n = len(self.lines)
-        self.title = [is_title(x, candidates) for x in self.lines]
+        held = [i for i, x in enumerate(self.lines) if x.strip()]
+        edge, again = {*held[:EDGE], *held[-EDGE:]}, set(again)
+        self.title = [is_title(x, candidates) or (i in edge and not is_page_number(x) and edge_form(x) in again) for i, x in enumerate(self.lines)]
         self.number = [not self.title[i] and is_page_number(x) for i, x in enumerate(self.lines)]
         self.caption = [bool(_CAPTION.match(x.strip())) for x in self.lines]
         self.body = [i for i, x in enumerate(self.lines) if x.strip() and not (self.title[i] or self.number[i] or self.caption[i])]
@@ -576,10 +618,10 @@ def vocabulary_counts(rows: DataFrame) -> DataFrame:
                 for line in joined.lower().split("\n"):
                     found = _WORD.findall(line)
                     words.update(found)
-                    follows.update(f"{a} {b}" for a, b in zip(found, found[1:], strict=False) if not (is_wide(a[0]) or is_wide(b[0]) or len(a) + len(b) > 80))
-                codes = [t for t in _CODE.findall(_one_form(joined)) if len(t) <= 40 and not t.isdigit() and not t.isalpha()]
+                    follows.update(f"{a} {b}" for a, b in zip(found, found[1:], strict=False) if not (is_wide(a[0]) or is_wide(b[0])))
+                codes = [t for t in _CODE.findall(_one_form(joined)) if not t.isdigit() and not t.isalpha()]
                 forms.update(map(form, codes))
-                models.update(t for t in codes if len(t) <= 8 and t.isalnum())
+                models.update(t for t in codes if t.isalnum())
                 cp = _pair_stream(joined)
                 wide = _wide_at(cp)
                 key, n = np.unique((cp[:-1] << 32 | cp[1:])[wide[:-1] | wide[1:]], return_counts=True)
@@ -587,7 +629,7 @@ def vocabulary_counts(rows: DataFrame) -> DataFrame:
                 odd = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
                 c, n = np.unique(odd, return_counts=True)
                 chars.update(dict(zip(map(chr, c.tolist()), n.tolist(), strict=True)))
-        for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0]) and len(w) <= 40}), ("form", forms), ("model", models), ("char", chars), ("pair", pairs), ("follow", follows)):
+        for kind, counts in (("word", {w: n for w, n in words.items() if not is_wide(w[0])}), ("form", forms), ("model", models), ("char", chars), ("pair", pairs), ("follow", follows)):
             entry = [str(k) for k in counts]
             yield pa.RecordBatch.from_arrays([pa.array([kind] * len(entry), pa.string()), pa.array(entry, pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "entry", "n"])
 
@@ -605,7 +647,7 @@ def vocabulary(rows: DataFrame) -> Vocabulary:
     pairs, forms = by.get("pair", {}), set(by.get("form", {}))
     keys = np.array([int(k) for k in pairs], np.int64)
     order = np.argsort(keys)
-    return Vocabulary(by.get("word", {}), forms, set(by.get("char", {})), keys[order], np.array(list(pairs.values()), np.int64)[order], closed(by.get("model", {}), forms), follows=by.get("follow", {}))
+    return Vocabulary(by.get("word", {}), forms, set(by.get("char", {})), keys[order], np.array(list(pairs.values()), np.int64)[order], closed(by.get("model", {}), forms), Trie.of(by.get("word", {})), follows=by.get("follow", {}))
 
 
 def closed(tokens: dict[str, int], forms: set[str], repeats: int = 10, rare: float = 0.01) -> dict[str, set[str]]:
@@ -618,6 +660,36 @@ def closed(tokens: dict[str, int], forms: set[str], repeats: int = 10, rare: flo
     return {f: {t for t, n in by[f].items() if n >= rare * m} for f, m in mean.items() if m >= repeats}
 
 
+def edge_form(line: str) -> str:
+    """What is compared of lines at the edges of pages: letters only, so that page numbers make no difference."""
+    return "".join(c for c in _plain(line) if not c.isdigit())
+
+
+def edges(text: str) -> list[str]:
+    """The forms, of at least six letters, of the first and last lines of a page, none twice."""
+    rows = [x for x in text.split("\n") if x.strip()]
+    return [f for f in dict.fromkeys(map(edge_form, [*rows[:EDGE], *rows[-EDGE:]])) if len(f) >= 6]
+
+
+def furniture(rows: DataFrame) -> DataFrame:
+    """(file, again): of each file the forms of lines that come again at the top or bottom of its scanned pages; hardly more
+    than ``2 * EDGE / AGAIN_SHARE`` of them. Counts of a page's own lines are all that is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for text, file, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file is not None and is_scanned(text, page):
+                    seen.update((file, f) for f in ["", *edges(text)])
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(seen.values()), pa.int64())], ["file", "form", "n"])
+
+    counts = rows.select("text", "file", "page").mapInArrow(run, "file string, form string, n bigint").groupBy("file", "form").agg(F.sum("n").alias("n")).filter(F.col("n") >= AGAIN)
+    pages_of = F.max(F.when(F.col("form") == "", F.col("n"))).over(Window.partitionBy("file"))
+    often = counts.withColumn("pages", pages_of).filter((F.col("form") != "") & (F.col("n") >= AGAIN_SHARE * F.col("pages")))
+    return often.groupBy("file").agg(F.collect_list("form").alias("again"))
+
+
 def _pages(rows: DataFrame, voc: Vocabulary, schema: str, emit) -> DataFrame:  # noqa: ANN001
     sent = rows.sparkSession.sparkContext.broadcast(voc)
     names = [x.strip().split()[0] for x in schema.split(",")]
@@ -626,14 +698,15 @@ def _pages(rows: DataFrame, voc: Vocabulary, schema: str, emit) -> DataFrame:  #
         v = sent.value.prepare()
         for batch in batches:
             out = []
-            for table, key, text, file, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for table, key, text, file, page, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if is_scanned(text, page):
-                    out += emit(table, key, Page(text, titles(file), v))
+                    out += emit(table, key, Page(text, titles(file), v, again or ()))
             cols = list(zip(*out, strict=True)) or [()] * len(names)
             kinds = [pa.int32() if "int" in x else pa.string() for x in schema.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    return rows.select("record_table", "record_id", "text", "file", "page").mapInArrow(run, schema)
+    known = rows.join(furniture(rows), "file", "left")
+    return known.select("record_table", "record_id", "text", "file", "page", "again").mapInArrow(run, schema)
 
 
 def noise(rows: DataFrame, voc: Vocabulary) -> DataFrame:

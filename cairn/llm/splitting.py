@@ -4,7 +4,8 @@ Method: recursive bisection. A text over the limit is cut at the strongest bound
 its span, nearest the midpoint among equals; each half that is still over the limit minus the overlap is cut
 again. The overlaps are attached afterwards, beginning at a natural boundary too where one is near.
 
-Only oversized rows reach Python; Spark finds them by length, and nothing is shuffled but their keys.
+Only oversized rows reach Python; Spark finds them by length in the scan. Of them repeated rows are dropped first, by
+key, text and breadcrumb, which shuffles the oversized rows and no others.
 """
 
 from __future__ import annotations
@@ -88,18 +89,21 @@ def overlap_start(text: str, begin: int, overlap: int) -> int:
 def split_item(text: str, breadcrumb: str | None, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
     """(start, end, overlap_start, piece) of each piece; ``text[start:end]`` over all pieces is the text.
 
-    A piece is the breadcrumb, a newline and its stretch of text from ``overlap_start`` to ``end``. Of a
-    breadcrumb that would leave less than half the limit, only its end is kept.
+    A piece is the breadcrumb, a newline and its stretch of text from ``overlap_start`` to ``end``. A breadcrumb that
+    would leave less room than two overlaps cannot stand before every piece: breadcrumb, newline and text are then cut
+    as one, and places are counted from the beginning of the text, so that those in the breadcrumb are negative.
     """
     crumb = breadcrumb or ""
-    crumb = crumb[-(limit // 2 - 1) :] if len(crumb) + 1 > limit // 2 else crumb
     head = crumb + "\n" if crumb else ""
+    before = 0
+    if limit - len(head) <= 2 * overlap:
+        text, head, before = head + text, "", len(head)
     most = limit - len(head)
     ends = [len(text)] if len(text) <= most else cut_points(text, most - overlap)
     out, begin = [], 0
     for end in ends:
         back = overlap_start(text, begin, overlap) if begin else 0
-        out.append((begin, end, back, head + text[back:end]))
+        out.append((begin - before, end - before, back - before, head + text[back:end]))
         begin = end
     return out
 

@@ -329,6 +329,52 @@ def test_misread_words_are_ranked_with_their_neighbours(spark):
     assert page.repaired() == "do not change the filter open the door now mit einem Tuch the brown cat sat a car was here"
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.text("abcé水", min_size=1, max_size=7), min_size=1, max_size=40), st.text("abcé水", min_size=1, max_size=8), st.integers(0, 2))
+def test_trie_gives_all_words_within_a_distance(words, word, most):
+    voc = pages.Vocabulary({w: 1 + i for i, w in enumerate(sorted(words))}, set(), set(), np.zeros(0, np.int64), np.zeros(0, np.int64)).prepare()
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(w, distance(word, w), voc.words[w]) for w in words if distance(word, w) <= most}
+    got = voc.within(word, most)
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_no_length_keeps_lines_and_words_out(monkeypatch):
+    voc = vocabulary()
+    long = "".join(chr(97 + i * 7 % 26) for i in range(60))
+    voc = pages.Vocabulary({**voc.words, long: 50}, voc.forms, voc.characters, voc.pairs, voc.pair_counts).prepare()
+    assert voc.correction(long[:30] + "q" + long[31:]) == long  # words over 40 letters
+    assert pages.is_page_number("-" * 40 + " 12 " + "-" * 40)
+    monkeypatch.setattr(pages, "KEPT", 3)
+    for w in ("abx", "cdx", "efx", "ghx", "ijx"):
+        voc.candidates(w)
+    assert len(voc.memo) <= 3
+    body = [f"the pump moves on from {i} to {i + 1} and so the next line" for i in range(40)]
+    assert pages.looks_scanned("\n".join(body)) and pages.looks_scanned("\n".join([*body, "x" * 200]))
+    assert not pages.looks_scanned("\n".join([*body[:5], *("y" * 200 for _ in range(5))]))
+
+
+def test_lines_that_come_again_are_furniture(spark):
+    # a running title that the file's name does not tell, with page numbers, at the top; one file without
+    body = "\n".join(f"the pump moves on and the next line follows {i}" for i in range(4))
+    rows = [("parents", f"p{i}", f"Household Devices Annual {i}\n{body}\n{'last words ' + str(i) if i == 3 else 'plain end of page ' + 'abcdefgh'[i] * 6}", "/kb/x9.pdf", 1) for i in range(6)]
+    rows += [("parents", "q", f"Household Devices Annual 1\n{body}", "/kb/y.pdf", 1), ("parents", "r", "Household Devices Annual 2", None, 1), ("parents", "s", "", "/kb/x9.pdf", 0)]
+    df = frame(spark, rows, "record_table string, record_id string, text string, file string, page int")
+    again = {r.file: set(r.again) for r in pages.furniture(df).collect()}
+    assert set(again) == {"/kb/x9.pdf"} and "householddevicesannual" in again["/kb/x9.pdf"]
+    found = {(r.record_id, r.line_no) for r in pages.noise(df, vocabulary()).filter("noise = 'header'").collect()}
+    assert {(f"p{i}", 0) for i in range(6)} <= found and not {k for k in found if k[0] in "qr"}
+    assert pages.noise(df.limit(0), vocabulary()).count() == 0
+
+
 # --- problem 4
 
 
@@ -336,10 +382,13 @@ def test_misread_words_are_ranked_with_their_neighbours(spark):
 @given(st.text(alphabet="ab 。.\n,x" + "́", max_size=3000), st.one_of(st.none(), st.text(alphabet="h> ", max_size=400)))
 def test_pieces_are_within_the_limit_and_lose_nothing(text, crumb):
     out = splitting.split_item(text, crumb, limit=300, overlap=40)
-    assert "".join(text[b:e] for b, e, _, _ in out) == text
+    n = len(crumb) + 1 if crumb and len(crumb) + 1 >= 220 else 0  # such a breadcrumb is cut with the text
+    whole = (crumb + "\n" + text) if n else text
+    assert "".join(whole[b + n : e + n] for b, e, _, _ in out) == whole
     assert all(len(p) <= 300 for *_, p in out)
+    assert n or not crumb or all(p.startswith(crumb + "\n") for *_, p in out)
     for (b0, *_), (b, e, back, p) in zip(out, out[1:]):
-        assert 0 < b - back <= 40 and p.endswith(text[back:e]) and b0 < b
+        assert 0 < b - back <= 40 and p.endswith(whole[back + n : e + n]) and b0 < b
 
 
 def test_pieces(spark):
