@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,3 +25,9 @@ def visible(tenant: Column | str | None, user: Column | str | None, enabled: boo
 def lacks_acl() -> Column:
     """Rows written before access control: any of the three columns is missing."""
     return F.col("status").isNull() | F.col("visibility").isNull() | F.col("tenant_id").isNull()
+
+
+def conjunction(filters: Iterable[Column | None]) -> Column | None:
+    """All of the filters at once; those that are None say nothing, and if none says anything, so does the result."""
+    given = [f for f in filters if f is not None]
+    return reduce(and_, given) if given else None

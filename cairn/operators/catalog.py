@@ -49,7 +49,8 @@ def resolve(names: DataFrame, files: DataFrame, name: str, file: str, gram: int
 
     mine = rest.select("name", "ln", F.explode(runs(F.col("ln"), F.least(F.length("ln"), F.lit(gram)))).alias("g"))
     every = f.select("file", "lf", F.explode(F.array_distinct(F.flatten(F.array(*(runs(F.col("lf"), F.lit(k)) for k in range(1, gram + 1)))))).alias("g"))
-    held = every.join(mine.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("files"))
+    every = settle(every.join(mine.select("g").distinct(), "g", "left_semi"))
+    held = every.groupBy("g").agg(F.count("*").alias("files"))
     rarest = mine.join(held, "g", "left").groupBy("name", "ln").agg(F.min_by("g", F.struct(F.coalesce("files", F.lit(0)), "g")).alias("g"))
     inner = rarest.join(every, "g").filter(F.contains("lf", "ln")).select("name", "file", F.lit(1).alias("tier"))
     return exact.select("name", "file", F.lit(0).alias("tier")).unionByName(inner)

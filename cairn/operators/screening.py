@@ -91,3 +91,8 @@ def unsafe_reasons(name: Column) -> Column:
         "length": F.octet_length(name) > 255,
     }
     return F.filter(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
+
+
+def upload_refusals(name: Column, size: Column, most: int = 50 * 1024 * 1024) -> Column:
+    """Why an upload is refused: the reasons of its name, and ``size`` if it is empty, unknown or over ``most`` bytes."""
+    return F.concat(unsafe_reasons(name), F.when(F.coalesce(size.between(1, most), F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("size"))))

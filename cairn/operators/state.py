@@ -9,7 +9,7 @@ from operator import and_
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from cairn.runtime import settle
 
@@ -71,29 +71,32 @@ def handoffs(signals: DataFrame, key: str, ts: str, order: str, ttl_us: int, fir
     return s.withColumn("fired", F.col("count") == fires_at).drop("us", "segment", "__hour", "__nth", "__carry")
 
 
-def token_bucket(events: DataFrame, key: str, ts: str, order: str, per_us: int, burst: int) -> DataFrame:
-    """(key, order, allowed): whether each event finds a token; one comes every ``per_us``, at most ``burst``.
+def token_bucket(events: DataFrame, key: str, ts: str, order: str, per_us: int | None, burst: int, idle_us: int = 3_600_000_000) -> DataFrame:
+    """(key, order, allowed, retry_us): whether each event finds a token, and if not when one will be there; one comes
+    every ``per_us``, at most ``burst``. None is no rate at all: the bucket is never filled again, and ``idle_us`` is
+    given as the time to wait.
 
     After silence of ``burst * per_us`` a bucket is full whatever was before, so histories are cut there. The
     stretches are sorted by Spark and read as a stream of batches with the level as the only state.
-    Amounts are whole microseconds' worth of tokens.
+    Amounts are whole microseconds' worth of tokens; time that runs backwards brings none.
     """
-    full, cost = burst * per_us, per_us
-    s = segments(events, key, ts, order, full).select(key, "segment", "us", order)
+    full, cost = (burst, 1) if per_us is None else (burst * per_us, per_us)
+    s = segments(events, key, ts, order, (1 << 62) if per_us is None else full).select(key, "segment", "us", order)
     s = s.repartition(F.col(key), F.col("segment")).sortWithinPartitions(key, "segment", "us", order)
-    kind = StructType([events.schema[key], events.schema[order], StructField("allowed", BooleanType())])
+    kind = StructType([events.schema[key], events.schema[order], StructField("allowed", BooleanType()), StructField("retry_us", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stretch, level, at = None, 0, None
         for batch in batches:
-            out = []
+            out, retry = [], []
             for k, segment, us in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if stretch != (k, segment):
                     stretch, level, at = (k, segment), full, us
-                level = min(full, level + (max(0, us - at) if us is not None and at is not None else 0))
+                level = min(full, level + (max(0, us - at) if per_us is not None and us is not None and at is not None else 0))
                 out.append(level >= cost)
+                retry.append(0 if out[-1] else idle_us if per_us is None else cost - level)
                 level, at = level - cost * out[-1], us
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.bool_())], [key, order, "allowed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(out, pa.bool_()), pa.array(retry, pa.int64())], [key, order, "allowed", "retry_us"])
 
     return s.mapInArrow(run, kind)
 
@@ -189,3 +192,10 @@ def histogram(df: DataFrame, label: str, value: str, bounds: list[float]) -> Dat
     g = v.groupBy(label).agg(*at, F.count("*").alias("total"), F.round(F.sum(value), 4).alias("sum"))
     rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("count")) for i, b in enumerate(bounds)] + [F.struct(F.lit(float("inf")).alias("le"), F.col("total").alias("count"))]
     return g.select(label, "total", "sum", F.inline(F.array(*rows)))
+
+
+def increments(df: DataFrame, labels: list[str], value: str) -> DataFrame:
+    """(labels, total, rejected): counters by labels. They only grow: negative, null and NaN amounts are rejected and counted."""
+    ok = F.coalesce((F.col(value) >= 0) & ~F.isnan(value), F.lit(False))
+    total = F.coalesce(F.sum(F.when(ok, F.col(value))), F.lit(0.0))
+    return df.groupBy(*labels).agg(F.round(total, 4).alias("total"), F.sum((~ok).cast("bigint")).alias("rejected"))

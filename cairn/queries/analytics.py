@@ -110,6 +110,19 @@ def recent_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumn("nth", F.row_number().over(w)).filter("nth <= 3").select("o_custkey", "o_orderkey", "nth")
 
 
+def counter_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.increments(_events(spark, sf_dir).withColumn("value", F.col("value") - 30), ["event_type"], "value")
+
+
+def principal_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of every user by the customer that the user stands for; users that stand for none have none."""
+    u = table(spark, sf_dir, "users").filter("user_id is not null").select("user_id", F.expr("try_cast(substr(customer_id, 2) as bigint)").alias("who")).distinct()
+    c, o = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("who"), F.lit(1).alias("known")), table(spark, sf_dir, "orders")
+    mine = o.join(u.select(F.col("who").alias("o_custkey")).filter("o_custkey is not null").distinct(), "o_custkey", "left_semi").groupBy(F.col("o_custkey").alias("who")).agg(F.count("*").alias("orders"))
+    j = u.join(c, "who", "left").join(mine, "who", "left")
+    return j.select("user_id", F.when(F.col("known") == 1, F.col("who")).alias("customer"), F.when(F.col("known") == 1, F.coalesce("orders", F.lit(0))).alias("orders"))
+
+
 def ownership_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order of somebody else looks the same as no order."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
@@ -129,7 +142,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         counter_by_label, latency_histogram, latency_quantiles, interpolated_quantiles, token_bucket, handoff_fold, revoked_events, first_use, as_of_view, tumbling_hours, sliding_hours, user_sessions,
-        distinct_users, cube_flags, rollup_ships, pivot_status, flags_common, orders_left, recent_orders, ownership_check, nested_orders,
+        distinct_users, cube_flags, rollup_ships, pivot_status, flags_common, orders_left, recent_orders, ownership_check, nested_orders, counter_rejections, principal_orders,
     )
 }
 
@@ -144,7 +157,7 @@ SQL = {
               UNION ALL
               SELECT e.user_id, e.event_id, e.n, e.us, CASE WHEN least({24 * _H}, level + e.us - f.us) >= {8 * _H} THEN least({24 * _H}, level + e.us - f.us) - {8 * _H} ELSE least({24 * _H}, level + e.us - f.us) END, least({24 * _H}, level + e.us - f.us) >= {8 * _H}
               FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
-        SELECT user_id, event_id, allowed FROM f""",
+        SELECT user_id, event_id, allowed, CASE WHEN allowed THEN 0 ELSE {8 * _H} - level END::bigint AS retry_us FROM f""",
     "handoff_fold": f"""WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events WHERE event_type = 'error'),
         s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= {72 * _H} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seg FROM e),
         n AS (SELECT event_id, (row_number() OVER (PARTITION BY user_id, seg ORDER BY ts, event_id) - 1) % 3 + 1 AS count FROM s) SELECT event_id, count::int AS count, count = 3 AS fired FROM n""",
@@ -161,5 +174,7 @@ SQL = {
     "orders_left": "SELECT o_custkey, count(*)::bigint AS orders FROM orders WHERE NOT o_totalprice > 200000 GROUP BY 1",
     "recent_orders": "SELECT o_custkey, o_orderkey, nth FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)::int AS nth FROM orders) WHERE nth <= 3",
     "ownership_check": "SELECT a.o_orderkey AS asked, a.who, coalesce(o.o_orderstatus, 'not found') AS status FROM (SELECT o_orderkey, o_custkey - o_orderkey % 3 AS who FROM orders WHERE o_orderkey % 20 = 0) a LEFT JOIN orders o ON o.o_orderkey = a.o_orderkey AND o.o_custkey = a.who WHERE a.who IN (SELECT c_custkey FROM customer)",
+    "counter_rejections": "SELECT event_type, round(coalesce(sum(CASE WHEN value >= 30 THEN value - 30 END), 0), 4) AS total, sum(CASE WHEN value >= 30 THEN 0 ELSE 1 END)::bigint AS rejected FROM events GROUP BY 1",
+    "principal_orders": "SELECT u.user_id, c.c_custkey AS customer, CASE WHEN c.c_custkey IS NOT NULL THEN (SELECT count(*) FROM orders WHERE o_custkey = c.c_custkey) END::bigint AS orders FROM (SELECT DISTINCT user_id, try_cast(substr(customer_id, 2) AS bigint) AS who FROM users WHERE user_id IS NOT NULL) u LEFT JOIN customer c ON c.c_custkey = u.who",
     "nested_orders": "SELECT l_orderkey, o_orderstatus, count(*)::bigint AS lines, round(sum(l_extendedprice * (1 - l_discount)), 4) AS net, datediff('day', any_value(o_orderdate), max(l_shipdate))::bigint AS days FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2",
 }

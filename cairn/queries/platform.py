@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import replies
 from cairn.functions import text as tx
-from cairn.operators import accounts, catalog, ranking, structure
+from cairn.operators import accounts, catalog, ranking, screening, structure
 from cairn.runtime import table
 
 DAY = 86_400_000_000
@@ -159,11 +159,33 @@ def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("parent_id", replies.source_label(F.col("breadcrumb"), F.col("source"), F.col("page_start")).alias("label"), tx.estimated_tokens(F.col("text")).alias("tokens"))
 
 
+def knowledge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of what the knowledge base has, by tenant of the document."""
+    d = table(spark, sf_dir, "documents").select("doc_ref", "tenant_id", "status", "parsed_status")
+    p = table(spark, sf_dir, "parents").filter("parent_id is not null").groupBy("doc_id").agg(F.countDistinct("parent_id").alias("blocks"))
+    j = d.join(p, d.doc_ref == p.doc_id, "left")
+    shown, failed = (F.sum(F.coalesce(c, F.lit(False)).cast("bigint")) for c in (F.col("status") == "published", F.col("parsed_status") == "failed"))
+    return j.groupBy("tenant_id").agg(F.count("*").alias("documents"), shown.alias("published"), failed.alias("failed"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"))
+
+
+def document_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outline of every document beside its name and access columns."""
+    p = table(spark, sf_dir, "parents").filter("parent_id is not null").select("doc_id", "breadcrumb", "order_idx").distinct()
+    d = table(spark, sf_dir, "documents").select(F.col("doc_ref").alias("doc_id"), "filename", "status", "visibility")
+    return structure.outline(p, "doc_id", "breadcrumb", "order_idx").join(d, "doc_id").select("doc_id", "filename", "status", "visibility", "nth", F.col("breadcrumb").alias("path"))
+
+
+def upload_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads refused by reason; sizes are the characters of the text, with 5000 as the most."""
+    d = table(spark, sf_dir, "documents").select(F.explode(screening.upload_refusals(F.col("filename"), F.col("n_chars"), 5000)).alias("reason"))
+    return d.groupBy("reason").agg(F.count("*").alias("files"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         reply_scores, reply_lines, reply_questions, call_arguments, question_guards, image_references, masked_names, account_locks, token_rotation, token_winners, token_purge, publication, access_merge,
-        listed_documents, resume_list, assembled_sections, pack_notices, source_labels,
+        listed_documents, resume_list, assembled_sections, pack_notices, source_labels, knowledge_status, document_outline, upload_checks,
     )
 }
 
@@ -195,6 +217,11 @@ pa AS (SELECT b.parent_id, b.no, string_agg(h.title, ' > ' ORDER BY h.level) AS
   WHERE b.kind <> 'heading' AND NOT EXISTS (SELECT 1 FROM g1 x WHERE x.kind = 'heading' AND x.parent_id = b.parent_id AND x.no > h.no AND x.no < b.no AND x.level <= h.level) GROUP BY 1, 2)"""
 
 SQL = {
+    "knowledge_status": "SELECT tenant_id, count(*)::bigint AS documents, sum(CASE WHEN status = 'published' THEN 1 ELSE 0 END)::bigint AS published, sum(CASE WHEN parsed_status = 'failed' THEN 1 ELSE 0 END)::bigint AS failed, coalesce(sum(blocks), 0)::bigint AS blocks FROM documents LEFT JOIN (SELECT doc_id, count(DISTINCT parent_id) AS blocks FROM parents WHERE parent_id IS NOT NULL GROUP BY 1) p ON p.doc_id = doc_ref GROUP BY 1",
+    "document_outline": f"WITH {_P}, g AS (SELECT doc_id, breadcrumb AS path, min(order_idx) AS first FROM b WHERE breadcrumb <> '' GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, path)::int AS nth FROM g) SELECT n.doc_id, filename, status, visibility, nth, n.path FROM n JOIN documents ON doc_ref = n.doc_id WHERE nth <= 20",
+    "upload_checks": r"""WITH r AS (SELECT unnest([CASE WHEN filename IS NULL OR trim(filename) = '' THEN 'empty' END, CASE WHEN regexp_matches(filename, '[/\\]') THEN 'separator' END, CASE WHEN contains(filename, ':') THEN 'colon' END, CASE WHEN regexp_matches(filename, '[. ]$') THEN 'edge' END,
+        CASE WHEN regexp_matches(regexp_replace(filename, '\.[^.]*$', ''), '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$') THEN 'device' END, CASE WHEN regexp_matches(filename, '[\x00-\x1f<>"|?*]') THEN 'character' END, CASE WHEN strlen(filename) > 255 THEN 'length' END, CASE WHEN coalesce(n_chars BETWEEN 1 AND 5000, false) THEN NULL ELSE 'size' END]) AS reason FROM documents)
+        SELECT reason, count(*)::bigint AS files FROM r WHERE reason IS NOT NULL GROUP BY 1""",
     "assembled_sections": f"WITH {_ASSEMBLED} SELECT parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY no) - 1 AS nth, kind, coalesce(path, '') AS path, CASE WHEN pk = 'heading' THEN repeat('#', pl::int) || ' ' || pt || chr(10) || body ELSE body END AS body FROM g2 LEFT JOIN pa USING (parent_id, no) WHERE kind <> 'heading'",
     "reply_scores": f"""WITH {_Q}, s AS (SELECT request_id, CASE n % 4 WHEN 0 THEN [n % 100, n % 11, NULL] WHEN 1 THEN [n % 100, -1, n % 11 + 0.5] WHEN 2 THEN [n % 100, NULL, n % 11] ELSE [NULL, NULL, NULL] END::double[] AS x FROM q)
         SELECT request_id, """

@@ -34,3 +34,21 @@ def exposition(counts: DataFrame, name: str, labels: list[str], value: str) -> D
     """(line): metric lines of a table of counts, to be written in order of ``line``."""
     parts = [F.concat(F.lit(f'{x}="'), F.coalesce(F.col(x).cast("string"), F.lit("")), F.lit('"')) for x in sorted(labels)]
     return counts.select(F.concat(F.lit(name + "{"), F.concat_ws(",", *parts), F.lit("} "), F.col(value).cast("string")).alias("line")).orderBy("line")
+
+
+def append_audit(rows: DataFrame, path: str, detail: str = "detail", most: int = 500) -> bool:
+    """Append audit rows, each detail cut to ``most`` characters. A failure is reported by False and never raised, as what
+    is audited must not fail because of it."""
+    try:
+        rows.withColumn(detail, F.left(F.col(detail), F.lit(most))).write.mode("append").parquet(path)
+    except Exception:  # noqa: BLE001
+        return False
+    return True
+
+
+def miss_report(misses: DataFrame, *columns: str) -> DataFrame:
+    """(line): a Markdown table of the missed questions, to be written in order of ``nth``."""
+    cell = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\r\n]+", " ") for c in columns]
+    body = misses.select(F.lit(2).alias("nth"), F.concat(F.lit("| "), F.concat_ws(" | ", *cell), F.lit(" |")).alias("line"))
+    head = misses.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "nth int, line string")
+    return head.unionByName(body).orderBy("nth", "line").select("line")

@@ -13,7 +13,7 @@ from cairn.config import Retrieval
 from cairn.functions import replies
 from cairn.functions import text as tx
 from cairn.operators import accounts, catalog, dense, evaluate, ranking, screening, sparse, state, structure
-from cairn.operators.acl import lacks_acl, visible
+from cairn.operators.acl import conjunction, lacks_acl, visible
 from cairn.plans.retrieval import Pipeline, with_terms
 from cairn.sources import readers, sinks
 
@@ -572,3 +572,22 @@ def test_table_extents_and_sentence_cuts(spark):
     texts = [("short",), ("One two! Three four five",), ("no end at all in here",), (None,), ("",), ("x" * 100_000,)]
     got = [r.c for r in spark.createDataFrame(texts, "t string").select(tx.cut_at_sentence(F.col("t"), 16, "~~").alias("c")).collect()]
     assert got == ["short", "One two!~~", "no end at all ~~", None, "", "x" * 14 + "~~"]
+
+
+def test_counters_filters_and_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1.0), ("a", -2.0), ("a", None), ("b", float("nan"))], "l string, v double")
+    assert rows(state.increments(df, ["l"], "v")) == [("a", 1.0, 2), ("b", 0.0, 1)]
+    assert conjunction([]) is None and conjunction([None]) is None
+    assert df.filter(conjunction([None, F.col("l") == "a", F.col("v") > 0])).count() == 1
+    assert one(spark, "a/b", lambda c: screening.upload_refusals(c, F.lit(0))) == ["separator", "size"] and one(spark, "a", lambda c: screening.upload_refusals(c, F.lit(9))) == []
+    rows_ = spark.createDataFrame([("x", "y" * 900), ("z", None)], "who string, detail string")
+    assert sinks.append_audit(rows_, str(tmp_path / "audit")) and sinks.append_audit(rows_, str(tmp_path / "audit"))
+    assert max(len(r.detail or "") for r in spark.read.parquet(str(tmp_path / "audit")).collect()) == 500 and spark.read.parquet(str(tmp_path / "audit")).count() == 4
+    assert sinks.append_audit(rows_, "nosuchscheme://x") is False
+    assert [r.line for r in sinks.miss_report(rows_.select("who", F.lit("a|b").alias("q")), "who", "q").collect()] == ["| who | q |", "|---|---|", "| x | a b |", "| z | a b |"]
+
+
+def test_token_bucket_without_rate(spark):
+    df = spark.createDataFrame([("u", T0 + timedelta(days=i), i) for i in range(4)], "k string, ts timestamp_ntz, id int")
+    got = sorted((r.id, r.allowed, r.retry_us) for r in state.token_bucket(df, "k", "ts", "id", None, 2).collect())
+    assert got == [(0, True, 0), (1, True, 0), (2, False, 3_600_000_000), (3, False, 3_600_000_000)]
