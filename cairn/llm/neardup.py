@@ -38,6 +38,8 @@ from cairn.runtime import settle
 BLOCK = 8192
 #: Bits that a step of the traversal goes down, and deviations from the mean that the error budget allows at each depth.
 STEP_BITS, DEVIATIONS = 4, 4.0
+#: Shared root paths, and ids of texts in pairs, that are sent to all tasks; more are joined by shuffling.
+SENT = 1_000_000
 #: Texts of a batch that are counted together to find paths that many share.
 COUNTED = 20_000
 #: Steps of compressed paths that are compared at once.
@@ -401,15 +403,19 @@ def shared_paths(signed_rows: DataFrame) -> DataFrame:
 def candidate_pairs(signed_rows: DataFrame, shape: Shape) -> DataFrame:
     """(a, b) with a < b: distinct text pairs whose sketches the trie self-join keeps. ``signed_rows`` is settled."""
     shared = settle(shared_paths(signed_rows))
+    n = shared.limit(SENT + 1).count()
+    shared = F.broadcast(shared) if n <= SENT else shared
     rows = signed_rows.select(F.explode("paths").alias("key"), "tid", "s1", "s2")
-    alone = rows.join(shared, "key", "left_anti").repartition("key").sortWithinPartitions("key")
-    first = settle(alone.mapInArrow(_join_small_nodes(shape.budgets), _OUT))
+    alone = rows.join(shared, "key", "left_anti") if n else rows
+    first = settle(alone.repartition("key").sortWithinPartitions("key").mapInArrow(_join_small_nodes(shape.budgets), _OUT))
     small = first.filter("b is not null").select("a", "b")
     large = first.filter("b is null").select("key", "chunk", F.col("a").alias("tid"), "s1", "s2")
-    blocks = large.groupBy("key").agg((F.max("chunk") + 1).alias("blocks"))
-    spread = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    spread = spread.select("key", F.pmod(F.xxhash64("tid", "key"), "blocks").cast("int").alias("chunk"), "tid", "s1", "s2", "blocks")
-    spread = spread.unionByName(large.join(blocks, "key")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = large.join(large.groupBy("key").agg((F.max("chunk") + 1).alias("blocks")), "key")
+    if n:
+        held = rows.join(shared, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        held = held.select("key", F.pmod(F.xxhash64("tid", "key"), "blocks").cast("int").alias("chunk"), "tid", "s1", "s2", "blocks")
+        spread = spread.unionByName(held)
+    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select(
         F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("g"), (F.col("chunk") > F.col("other")).cast("tinyint").alias("side"), "tid", "s1", "s2"
     )
@@ -419,9 +425,11 @@ def candidate_pairs(signed_rows: DataFrame, shape: Shape) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, prepare, shape: Shape) -> DataFrame:  # noqa: ANN001
-    """The pairs (a, b) whose exact sets of runs are at least as similar as the threshold."""
-    used = pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct()
-    held = texts.join(used, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
+    """The pairs (a, b) whose exact sets of runs are at least as similar as the threshold. ``pairs`` is settled. Only texts of
+    pairs are shuffled, as long as their ids are few enough to be sent to all tasks."""
+    used = settle(pairs.select(F.col("a").alias("tid")).unionByName(pairs.select(F.col("b").alias("tid"))).distinct())
+    few = used.limit(SENT + 1).count() <= SENT
+    held = texts.join(F.broadcast(used) if few else used, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text"))
     both = pairs.join(held.select(F.col("tid").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(held.select(F.col("tid").alias("b"), F.col("text").alias("tb")), "b")
     n, threshold = shape.run, shape.threshold
@@ -462,7 +470,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, prepare, shape: Shape) -
     rows = df.select(df[key].alias("key"), F.xxhash64(df[text]).alias("tid"), df[text].alias("text")).filter("key is not null and text is not null")
     members = rows.select("key", "tid").distinct()
     shape = shape.fitted(df.count())
-    links = settle(verified(candidate_pairs(settle(signed(rows, prepare, shape)), shape), rows.select("tid", "text"), prepare, shape))
+    pairs = settle(candidate_pairs(settle(signed(rows, prepare, shape)), shape))
+    links = settle(verified(pairs, rows.select("tid", "text"), prepare, shape))
     return NearDuplicates(members, links)
 
 
