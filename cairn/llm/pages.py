@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.runtime import settle
+
 #: Entries below this share of all words (pairs, characters, forms) are not known.
 LEAST_SHARE = 5e-7
 #: Forms of tokens with digits below this share of all such tokens are not those of codes or models.
@@ -41,6 +43,8 @@ WIDEST, WIDER = 82, 0.05
 #: Lines at the top and at the bottom of a page that may be furniture; a line is if it comes again on so many pages of a
 #: file, and on this share of them.
 EDGE, AGAIN, AGAIN_SHARE = 2, 3, 0.3
+#: Files whose recurring lines are sent to all tasks (each has some 13 at most), and keys over which a file is spread beyond.
+SENT, SALTS = 50_000, 64
 #: Answers that a task keeps for words and pairs it has seen.
 KEPT = 200_000
 _WORD = re.compile(r"[^\W\d_]+(?:[-'\u2019][^\W\d_]+)*")
@@ -705,10 +709,20 @@ def _pages(rows: DataFrame, voc: Vocabulary, schema: str, emit) -> DataFrame:  #
             kinds = [pa.int32() if "int" in x else pa.string() for x in schema.split(",")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
-    known = rows.join(furniture(rows), "file", "left")
+    known = with_furniture(rows, settle(furniture(rows)))
     return known.select("record_table", "record_id", "text", "file", "page", "again").mapInArrow(run, schema)
 
 
+def with_furniture(rows: DataFrame, again: DataFrame) -> DataFrame:
+    """``rows`` with ``again`` of their file. It is sent to all tasks as long as it is of ``SENT`` files at most; beyond that,
+    a file's rows are spread over ``SALTS`` keys, so that a file of a third of all rows is not one task."""
+    if again.limit(SENT + 1).count() <= SENT:
+        return rows.join(F.broadcast(again), "file", "left")
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS))
+    spread = again.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return rows.withColumn("__salt", salt).join(spread, ["file", "__salt"], "left").drop("__salt")
+
+
 def noise(rows: DataFrame, voc: Vocabulary) -> DataFrame:
     """(record_table, record_id, line_no, noise) of the scanned records; a repeated row counts once."""
     schema = "record_table string, record_id string, line_no int, noise string"
